@@ -54,21 +54,44 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * _inv[starts] + (ends - starts).astype(np.uint64))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """Hashes of all words in order; long texts go slice by slice, so scratch memory is bounded."""
-    buf = np.frombuffer(data, np.uint8)
-    if len(buf) <= _SLICE:
-        return span_hashes(buf, *spans(buf))
-    out, at = [], 0
+def slices(buf: np.ndarray):
+    """A byte array in parts of about a megabyte that end where a word does, so scratch memory is bounded."""
+    at = 0
     while at < len(buf):
         end = min(at + _SLICE, len(buf))
-        while end < len(buf) and not SPACE[buf[end]]:  # a slice ends where a word does
+        while end < len(buf) and not SPACE[buf[end]]:
             step = SPACE[buf[end : end + _SLICE]]
             end += int(step.argmax()) if step.any() else len(step)
-        part = buf[at:end]
-        out.append(span_hashes(part, *spans(part)))
+        yield buf[at:end]
         at = end
-    return np.concatenate(out)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """Hashes of all words in order."""
+    out = [span_hashes(part, *spans(part)) for part in slices(np.frombuffer(data, np.uint8))]
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def words_and_lines(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, and the number of the line that each stands on."""
+    words, lines, line = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for part in slices(np.frombuffer(data, np.uint8)):
+        starts, ends = spans(part)
+        breaks = np.cumsum(part == 10)
+        words.append(span_hashes(part, starts, ends))
+        lines.append(line + (breaks[starts] if len(starts) else np.zeros(0, np.int64)))
+        line += int(breaks[-1])
+    return np.concatenate(words), np.concatenate(lines)
+
+
+def sequence_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of values[s:e], in order, for each span of an array of hashes."""
+    n = len(values)
+    _grow(n + 1)
+    sums = np.empty(n + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(mix(values) * _pow[:n], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _inv[starts] + (ends - starts).astype(np.uint64))
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
