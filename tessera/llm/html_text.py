@@ -40,6 +40,7 @@ APART_MARKS = re.compile(
 MAIN = {"article", "main"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _HOLDS = {"article", "aside", "body", "div", "footer", "form", "header", "html", "main", "nav", "section", "table", "td", "th", "ul", "ol", "dl"}
+CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tr", "td", "th", "figcaption"}
 WORD_DEFAULT, TAG_DEFAULT, TAG_LEAST = 1.0, -2.0, -0.25
 
 
@@ -136,7 +137,7 @@ def extract(page: str | None, weights: Weights) -> str:
     spans: list[tuple[int, str]] = []
     for kind, a, b, c, last in tokens(page or ""):
         if kind == "tag":
-            score = 0.0 if last else weights.tags.get(a, TAG_DEFAULT if c else TAG_LEAST)
+            score = 0.0 if last else weights.tags.get(a, TAG_DEFAULT if c and a not in CONTENT else TAG_LEAST)
             if c or a == "br":
                 spans.append((-1 if c else 0, "\n" if c else " "))
             else:
