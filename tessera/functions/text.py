@@ -137,6 +137,11 @@ def skeleton(c: Column) -> Column:
     return c
 
 
+def let(c: Column, use) -> Column:
+    """use(c) with c evaluated once: the optimizer would otherwise repeat its expression inside lambdas."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     """Distinct words of a key; an empty key has none."""
     return F.filter(F.array_distinct(F.split(c, " ")), lambda x: x != "")
@@ -144,13 +149,19 @@ def tokens(c: Column) -> Column:
 
 def char_grams(c: Column, n: int = 3, first: int = 40) -> Column:
     """Distinct n-grams of the first characters of a key."""
-    head = F.substring(c, 1, first)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(head) - n + 1, F.lit(1))), lambda i: F.substr(head, i, F.lit(n)))
-    return F.when(F.length(head) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(head: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(head) - n + 1, F.lit(1)))
+        return F.when(F.length(head) >= n, F.array_distinct(F.transform(at, lambda i: F.substr(head, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.substring(c, 1, first), grams)
 
 
 def bigrams(c: Column) -> Column:
     """Distinct pairs of neighbouring words of a key."""
-    w = F.split(c, " ")
-    pairs = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-    return F.when(F.size(w) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+
+    def pairs(w: Column) -> Column:
+        n = F.greatest(F.size(w) - 1, F.lit(0))
+        return F.array_distinct(F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b)))
+
+    return let(F.split(c, " "), pairs)
