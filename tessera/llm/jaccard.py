@@ -1,10 +1,14 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Similar documents are partitioned into groups first. A set's shingles are dealt by hash into more parts
-than two similar sets can differ in; so two that reach the threshold agree on a whole part, and a key
-made of a part's shingles finds them. (Parts depend on a size class; a set also deals by the class
-below its own, which makes this exact for sets of different sizes.) Documents that any chain of
-keys connects are one candidate group: every link lies within a group.
+Similar documents are partitioned into groups first. A set's shingles are dealt by hash into SPREAD times
+as many parts as two similar sets can differ in; so two that reach the threshold agree on whole parts, and a
+key made of a part's shingles finds them. How often keys occur in the corpus is counted over all texts in a
+sketch of fixed size, and a set gives its rarest keys only: one more than can differ, so that of the parts two
+similar sets agree on at least one is among both sets' (the prefix filter; any common order of the keys keeps
+this exact, and collisions in the sketch only change the order). A passage that many documents share has
+frequent keys, and connects only sets made mostly of such passages. (Parts depend on a size class; a set also
+deals by the class below its own, for smaller partners.) Documents that any chain of keys connects are one
+candidate group: every link lies within a group.
 
 Within a group, documents lie in blocks of bounded size, and those in small groups of BUNDLE in the order of
 their least shingle. The token-group matrix holds the union of each bundle's shingles; how many of a
@@ -24,7 +28,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import groupby
-from math import ceil, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +44,11 @@ BLOCK, BLOCK_TOKENS, BUNDLE = 8192, 4_000_000, 32
 BROADCAST_ROWS = 300_000
 #: Entries that a task thins at once.
 THIN = 2_000_000
+#: Parts for each shingle that may differ.
+SPREAD = 2
+#: Counters of the sketch of key frequencies, as a power of two, and how many of them a row holds. The sketch has
+#: this size for any corpus; keys stand out that occur a few times the square root of a counter's mean.
+SKETCH_BITS, SKETCH_ROW = 21, 1 << 13
 
 
 def differ(a: int, b: int, percent: int) -> int:
@@ -52,40 +60,67 @@ class Classes:
     """Size classes: of each, the first size, and into how many parts its sets are dealt."""
 
     def __init__(self, percent: int):
-        self.percent, self.first, self.parts, self.spare = percent, [1], [], []
+        self.percent, self.first, self.parts = percent, [1], []
 
     def _grow(self) -> None:
         low = self.first[-1]
         high = max(low + 1, -(-low * 100 // self.percent))
         most = differ(high - 1, (high - 1) * 100 // self.percent, self.percent)
-        parts, spare = (most + 1, 0) if most else (0, 0)
-        if most:  # parts may be empty in both sets, and agree on nothing: so many more
-            empty = parts * exp(-low / parts)
-            spare = ceil(empty + 3 * sqrt(empty))
-            parts += spare
         self.first.append(high)
-        self.parts.append(parts)
-        self.spare.append(spare)
+        self.parts.append(SPREAD * most + 1 if most else 0)
 
     def of(self, n: int) -> int:
         while self.first[-1] <= n:
             self._grow()
         return int(np.searchsorted(self.first, n, "right")) - 1
 
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """Keys of a set: equal ones for at least one part of any other set that links with it."""
-        own, out = self.of(len(tokens)), []
-        for c in (own, own - 1):
+    def keys(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """Keys of a set for each class that it deals by, and how many of them, the first in any common order, find each set that links with it."""
+        n = len(tokens)
+        own, values = self.of(n), mix(tokens)
+        for c, largest in ((own, n * 100 // self.percent), (own - 1, self.first[own] - 1)):
             if c < 0 or not self.parts[c]:
                 continue
-            m = self.parts[c]
+            m, most = self.parts[c], differ(n, largest, self.percent)
             part = (mix(tokens + _U((2 * c + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % _U(m)).astype(np.int64)
             total = np.zeros(m, np.uint64)
-            np.add.at(total, part, mix(tokens))
+            np.add.at(total, part, values)
             held = np.bincount(part, minlength=m) > 0
             key = mix(total + mix(np.arange(m, dtype=np.uint64) + _U(c << 32)))
-            out.append(key if m - held.sum() > self.spare[c] else key[held])
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            if held.sum() > most:
+                yield key[held], most + 1
+            else:  # so few that it may agree on empty parts only: all, empty ones too
+                yield key, m
+
+
+def slot(keys: np.ndarray) -> np.ndarray:
+    """The counter of each key."""
+    return (keys >> _U(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def rarest(classes: Classes, tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The keys of a set that it is found by, with the counters `seen`."""
+    out = [np.zeros(0, np.uint64)]
+    for keys, need in classes.keys(tokens):
+        out.append(keys if need >= len(keys) else keys[np.lexsort((keys, seen[slot(keys)]))[:need]])
+    return np.concatenate(out)
+
+
+def summed(rows: DataFrame) -> np.ndarray:
+    """The sketch from its tasks' (block, counts): summed by block, then of fixed size on the driver."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for block, group in groupby(pairs, key=lambda r: r[0]):
+            total = np.zeros(SKETCH_ROW, np.int64)
+            for _, counts in group:
+                total += np.frombuffer(counts, np.uint32)
+            yield pa.RecordBatch.from_pylist([{"block": block, "counts": total.tobytes()}], schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
+
+    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary").collect():
+        out[r["block"] * SKETCH_ROW : (r["block"] + 1) * SKETCH_ROW] = np.frombuffer(r["counts"], np.int64)
+    return out
 
 
 def signature(tokens: np.ndarray) -> tuple[int, int]:
@@ -184,8 +219,9 @@ def _edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], schema=EDGE)
 
 
-def candidate_groups(docs: DataFrame, shingle: int, percent: int, tasks: int) -> DataFrame:
+def candidate_groups(docs: DataFrame, shingle: int, percent: int, tasks: int, seen: np.ndarray) -> DataFrame:
     """(node, component) over the first number of signatures: the candidate groups."""
+    shared = docs.sparkSession.sparkContext.broadcast(seen)
     dealt = pa.schema([("p", pa.int32()), ("edges", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +244,7 @@ def candidate_groups(docs: DataFrame, shingle: int, percent: int, tasks: int) ->
             for text in b.column(0).to_pylist():
                 tokens = shingle_set(text, shingle)
                 if len(tokens):
-                    k = classes.keys(tokens)
+                    k = rarest(classes, tokens, shared.value)
                     keys.append(k)
                     nodes.append(np.full(len(k), signature(tokens)[0]))
                     held += len(k)
@@ -240,19 +276,28 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64())])
+    sets = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes, seen = Classes(percent), np.zeros(1 << SKETCH_BITS, np.uint32)
         for b in batches:
             found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
+            for x in found:
+                for keys, _ in classes.keys(x) if len(x) else ():
+                    np.add.at(seen, slot(keys), np.uint32(1))
             marks = [signature(x) for x in found]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())], schema=sets)
-
-    signed = written(docs.mapInArrow(sign, "doc_id long, n long, s long, t long"), "sets")
+            columns = [b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], schema=sets)
+        for i, counts in enumerate(seen.reshape(-1, SKETCH_ROW)):
+            if counts.any():
+                yield pa.RecordBatch.from_pylist([{"block": i, "counts": counts.tobytes()}], schema=sets)
+
+    both = written(docs.mapInArrow(sign, "doc_id long, n long, s long, t long, block int, counts binary"), "sets")
+    signed, seen = both.where("block is null").drop("block", "counts"), summed(both.where("block is not null").select("block", "counts"))
     total = signed.agg(F.sum("n")).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) * 4 / 100 / 1_000_000))
     classes = signed.where("n > 0 and doc_id is not null").groupBy("s", "t", "n").agg(F.min("doc_id").alias("rep"))
-    groups = candidate_groups(docs, shingle, percent, tasks)
+    groups = candidate_groups(docs, shingle, percent, tasks, seen)
     held = written(classes.join(groups, F.col("s") == F.col("node")).select("rep", "n", F.col("component").alias("g")), "members")
     sizes = held.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
     held = held.join(sizes, "g").select("rep", "g", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
