@@ -39,7 +39,7 @@ from tessera.llm.hashing import mix, shingle_set
 
 _U = np.uint64
 #: Documents and shingles of a block; documents of a bundle, a row of the matrix.
-BLOCK, BLOCK_TOKENS, BUNDLE = 8192, 4_000_000, 32
+BLOCK, BLOCK_TOKENS, BUNDLE = 4096, 1_000_000, 32
 #: Rows of four numbers that are sent to every executor at most; beyond them texts are shuffled to their groups.
 BROADCAST_ROWS = 300_000
 #: Entries that a task thins at once.
