@@ -48,7 +48,9 @@ THIN = 2_000_000
 SPREAD = 2
 #: Counters of the sketch of key frequencies, as a power of two, and how many of them a row holds. The sketch has
 #: this size for any corpus; keys stand out that occur a few times the square root of a counter's mean.
-SKETCH_BITS, SKETCH_ROW = 21, 1 << 13
+SKETCH_BITS, SKETCH_ROW = 24, 1 << 16
+#: What a task's counter counts to; one that reaches it only ranks its keys as frequent.
+MOST = (1 << 16) - 1
 
 
 def differ(a: int, b: int, percent: int) -> int:
@@ -106,20 +108,26 @@ def rarest(classes: Classes, tokens: np.ndarray, seen: np.ndarray) -> np.ndarray
     return np.concatenate(out)
 
 
+def grade(n: np.ndarray) -> np.ndarray:
+    """Counts as single bytes of the same order: exact below 128, then eight steps for each doubling."""
+    return np.where(n < 128, n, np.minimum(255, 128 + 8 * (np.log2(np.maximum(n, 128)) - 7))).astype(np.uint8)
+
+
 def summed(rows: DataFrame) -> np.ndarray:
-    """The sketch from its tasks' (block, counts): summed by block, then of fixed size on the driver."""
+    """The graded sketch from its tasks' (block, counts): summed by block, then of fixed size on the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
         pairs = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for block, group in groupby(pairs, key=lambda r: r[0]):
             total = np.zeros(SKETCH_ROW, np.int64)
             for _, counts in group:
-                total += np.frombuffer(counts, np.uint32)
-            yield pa.RecordBatch.from_pylist([{"block": block, "counts": total.tobytes()}], schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
+                total += np.frombuffer(codec.decompress(counts, 2 * SKETCH_ROW), np.uint16)
+            yield pa.RecordBatch.from_pylist([{"block": block, "counts": grade(total).tobytes()}], schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
     for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary").collect():
-        out[r["block"] * SKETCH_ROW : (r["block"] + 1) * SKETCH_ROW] = np.frombuffer(r["counts"], np.int64)
+        out[r["block"] * SKETCH_ROW : (r["block"] + 1) * SKETCH_ROW] = np.frombuffer(r["counts"], np.uint8)
     return out
 
 
@@ -279,18 +287,19 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
     sets = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = Classes(percent), np.zeros(1 << SKETCH_BITS, np.uint32)
+        classes, seen = Classes(percent), np.zeros(1 << SKETCH_BITS, np.uint16)
         for b in batches:
             found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            for x in found:
-                for keys, _ in classes.keys(x) if len(x) else ():
-                    np.add.at(seen, slot(keys), np.uint32(1))
+            held = [slot(keys) for x in found if len(x) for keys, _ in classes.keys(x)]
+            if held:
+                at, n = np.unique(np.concatenate(held), return_counts=True)
+                seen[at] = np.minimum(seen[at] + n, MOST)
             marks = [signature(x) for x in found]
             columns = [b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], schema=sets)
-        for i, counts in enumerate(seen.reshape(-1, SKETCH_ROW)):
-            if counts.any():
-                yield pa.RecordBatch.from_pylist([{"block": i, "counts": counts.tobytes()}], schema=sets)
+        codec = pa.Codec("zstd")
+        rows = [{"block": i, "counts": codec.compress(counts.tobytes(), asbytes=True)} for i, counts in enumerate(seen.reshape(-1, SKETCH_ROW)) if counts.any()]
+        yield pa.RecordBatch.from_pylist(rows, schema=sets)
 
     both = written(docs.mapInArrow(sign, "doc_id long, n long, s long, t long, block int, counts binary"), "sets")
     signed, seen = both.where("block is null").drop("block", "counts"), summed(both.where("block is not null").select("block", "counts"))
