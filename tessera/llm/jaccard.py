@@ -17,7 +17,8 @@ opened, and their members compared exactly. Documents already connected are not
 
 Equal sets are one class from the start, keys are thinned to one entry for each task before they
 are shuffled, and no step lists the pairs of a group. A group of several blocks is joined by the blocks'
-largest classes; then only what lies outside the largest is compared with all the blocks.
+largest classes; then only what lies outside the largest is compared with the other blocks, or, where that is
+most of the group, each block with half of them.
 
 Defined results: a null text, or one without words, has no shingles and is a component by itself; a null
 doc_id links with nothing; rows that repeat a doc_id are compared by each one's text; an empty table gives no
@@ -355,8 +356,10 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
         near = written(near.unionAll(blocks(met)), "joined")
         label = connected_components(near, "joined")
         labelled = written(large.join(label, large["rep"] == label["node"], "left").withColumn("label", F.coalesce("component", "rep")).select("g", "blocks", "block", "rep", "z", "size", "label"), "labelled")
-        main = labelled.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "label")).alias("m")).select("g", F.col("m.label").alias("main"))
-        outside = labelled.join(main, "g").where("label <> main").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        main = labelled.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).select("g", F.col("m.label").alias("main"), (F.col("all") > 2 * F.col("m.n")).alias("most"))
+        # where most lie outside, all ask, but of two blocks one asks the other; no block asks itself again
+        asked = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda to: F.when(F.col("most"), (F.col("own") < to) == ((F.col("own") + to) % 2 == 0)).otherwise(F.col("label") != F.col("main")) & (F.col("own") != to))
+        outside = labelled.join(main, "g").withColumnRenamed("block", "own").withColumn("block", F.explode(asked))
         both = labelled.select("g", "block", F.lit(False).alias("query"), "rep", "label", "z", "size").unionAll(outside.select("g", "block", F.lit(True), "rep", "label", "z", "size"))
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
