@@ -1,10 +1,11 @@
 """Text hygiene: comparison keys, repairs and flags as column expressions.
 
-Only Unicode normalisation has no built-in; it is an Arrow UDF over whole batches that leaves ASCII alone.
+Unicode normalisation and the skeleton's fixpoint have no built-in; they are Arrow UDFs over whole batches.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -124,17 +125,39 @@ PASSES = 4
 
 
 def skeleton_steps() -> list[tuple[str, str]]:
-    """Replacements that leave the skeleton of every word; doubles fold without back references."""
+    """A fixed number of replacements, as the registered SQL has them; a word that needs more passes differs from skeleton()."""
     doubles = [(f"{c}{c}+", c) for c in "abcdefghijklmnopqrstuvwxyz"]
     one = [*DIGRAPHS, *SINGLES, *doubles]
     vowels = [(r"([a-z])[aeiou]+", r"\1")]
     return [*one * PASSES, *vowels, *doubles, *COARSE, *doubles]
 
 
+_SINGLE, _MERGE = ({ord(a): b for a, b in pairs} for pairs in (SINGLES, COARSE))
+_DOUBLE, _VOWELS, _WORDS = re.compile(r"([a-z0-9])\1+"), re.compile("[aeiou]"), re.compile("[a-z0-9]+")
+
+
+def skeleton_word(word: str) -> str:
+    """The whole pass, vowels and coarse merges included, until nothing changes: both can form a digraph anew."""
+    while True:
+        new = word
+        for a, b in DIGRAPHS:
+            new = new.replace(a, b)
+        new = _DOUBLE.sub(r"\1", new.translate(_SINGLE))
+        new = new[:1] + _VOWELS.sub("", new[1:])
+        new = _DOUBLE.sub(r"\1", new.translate(_MERGE))
+        if new == word:
+            return word
+        word = new
+
+
 def skeleton(c: Column) -> Column:
-    for pattern, by in skeleton_steps():
-        c = F.regexp_replace(c, pattern, by.replace("\\1", "$1"))
-    return c
+    """The skeletons of a text's ASCII words; anything but letters and digits parts words."""
+
+    @F.arrow_udf("string")
+    def run(values: pa.Array) -> pa.Array:
+        return pa.array([v if v is None else " ".join(map(skeleton_word, _WORDS.findall(v.lower()))) for v in values.to_pylist()], pa.string())
+
+    return run(c)
 
 
 def let(c: Column, use) -> Column:

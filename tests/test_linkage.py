@@ -76,3 +76,9 @@ def test_strict_tsv(spark, tmp_path):
     f = tmp_path / "x.tsv"
     f.write_text('a\tb\nNA\t\n"x ""y"""\tz\n')
     assert [tuple(r) for r in read_tsv(spark, str(f), ["a", "b"]).collect()] == [("NA", ""), ('x "y"', "z")]
+
+
+def test_skeleton_is_a_fixpoint_of_whole_passes(spark):
+    names = ["sahar", "kahan", "bihar", "jahangir", "Xerxes 2200", None]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r[0] for r in df.select(text.skeleton(F.col("n"))).collect()] == ["sr", "kn", "fr", "jnkr", "ksrks 20", None]
