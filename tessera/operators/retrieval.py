@@ -34,16 +34,19 @@ def equality_channel(name: str, queries: DataFrame, targets: DataFrame, key: Col
     return _top(small.unionAll(large), cap)
 
 
-def postings_channel(name: str, queries: DataFrame, targets: DataFrame, tokens: Column, df_cap: int = 3000, rarest: int = 6, min_shared: int = 1, k: int = 100) -> DataFrame:
+def postings_channel(name: str, queries: DataFrame, targets: DataFrame, tokens: Column, df_cap: int | None = 3000, rarest: int = 6, min_shared: int = 1, k: int = 100) -> DataFrame:
     """Targets that share rare tokens, scored by the sum of integer micro-IDFs.
 
     Tokens in more than df_cap targets are dropped and only each query's rarest are looked up, both
-    before the join, which bounds it. Sums are of integers, so they are exact in any order.
+    before the join, which bounds it. With df_cap None no token is dropped, so a query all of whose tokens
+    are frequent is looked up by the rarest of them. Sums are of integers, so they are exact in any order.
     """
     ours = queries.select("q", F.explode(tokens).alias("tok"))
     theirs = targets.select("t", F.explode(tokens).alias("tok"))
     n = targets.agg(F.count("*").alias("n"))
-    df = theirs.groupBy("tok").agg(F.count("*").alias("df")).where(F.col("df") <= df_cap)
+    df = theirs.groupBy("tok").agg(F.count("*").alias("df"))
+    if df_cap is not None:
+        df = df.where(F.col("df") <= df_cap)
     idf = df.crossJoin(F.broadcast(n)).select("tok", F.round(F.log((F.col("n") + 1) / (F.col("df") + 0.5)) * 1e6).cast("long").alias("idf"))
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("idf"), F.asc("tok")))
     chosen = ours.join(idf, "tok").withColumn("r", order).where(F.col("r") <= rarest).drop("r")

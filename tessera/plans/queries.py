@@ -317,6 +317,15 @@ def postings_tokens(spark, d):
     return retrieval.postings_channel("tok", _bench(spark, d), _corpus(spark, d), text.tokens(F.col("key")), 100, 6, 1, 20)
 
 
+_ANY = "(SELECT count(*) FROM documents)"
+
+
+@query(_postings_sql("tok", _WORDS, _ANY, 6, 20))
+def postings_tokens_all(spark, d):
+    """postings_tokens without a bound on a token's documents."""
+    return retrieval.postings_channel("tok", _bench(spark, d), _corpus(spark, d), text.tokens(F.col("key")), None, 6, 1, 20)
+
+
 @query(_postings_sql("tri", _GRAMS, 5000, 10, 20))
 def postings_trigrams(spark, d):
     return retrieval.postings_channel("tri", _bench(spark, d), _corpus(spark, d), text.char_grams(F.col("key")), 5000, 10, 1, 20)

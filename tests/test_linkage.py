@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import records, similarity, text
-from tessera.operators import decide
+from tessera.operators import decide, retrieval
 from tessera.plans import queries
 from tessera.sources.tables import read_tsv
 
@@ -82,3 +82,14 @@ def test_skeleton_is_a_fixpoint_of_whole_passes(spark):
     names = ["sahar", "kahan", "bihar", "jahangir", "Xerxes 2200", None]
     df = spark.createDataFrame([(n,) for n in names], "n string")
     assert [r[0] for r in df.select(text.skeleton(F.col("n"))).collect()] == ["sr", "kn", "fr", "jnkr", "ksrks 20", None]
+
+
+def test_frequent_tokens_retrieve_without_a_cap(spark):
+    docs = spark.createDataFrame([(t, f"shared passage {'more' if t < 3 else ''}".strip()) for t in range(150)], "t long, key string")
+    bench = spark.createDataFrame([(1, "shared passage more")], "q long, key string")
+    run = lambda cap: retrieval.postings_channel("tok", bench, docs, text.tokens(F.col("key")), cap, 2, 1, 200)
+    assert (run(100).count(), run(None).count()) == (3, 150)
+
+
+def test_postings_tokens_all_matches_duckdb(spark):
+    test_query_matches_duckdb(spark, "postings_tokens_all")
