@@ -93,3 +93,11 @@ def test_frequent_tokens_retrieve_without_a_cap(spark):
 
 def test_postings_tokens_all_matches_duckdb(spark):
     test_query_matches_duckdb(spark, "postings_tokens_all")
+
+
+def test_holders_have_no_rank_or_frequency_cut(spark):
+    passage = "one two three four five six seven"
+    rows = [(t, f"start {t} {passage} end") for t in range(30)] + [(100, "one two three four six five seven"), (101, "two words"), (102, "xtwo words"), (103, "")]
+    docs = spark.createDataFrame(rows, "t long, key string")
+    bench = spark.createDataFrame([(1, passage), (2, "two words"), (3, "")], "q long, key string")
+    assert {tuple(r) for r in queries.holders(bench, docs).collect()} == {(1, t) for t in range(30)} | {(2, 101)}
