@@ -170,14 +170,18 @@ def tokens(c: Column) -> Column:
     return F.filter(F.array_distinct(F.split(c, " ")), lambda x: x != "")
 
 
-def char_grams(c: Column, n: int = 3, first: int = 40) -> Column:
-    """Distinct n-grams of the first characters of a key."""
+def char_grams(c: Column, n: int = 3, first: int | None = 40) -> Column:
+    """Distinct n-grams of the first characters of a key, or of all of them."""
 
     def grams(head: Column) -> Column:
         at = F.sequence(F.lit(1), F.greatest(F.length(head) - n + 1, F.lit(1)))
         return F.when(F.length(head) >= n, F.array_distinct(F.transform(at, lambda i: F.substr(head, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-    return let(F.substring(c, 1, first), grams)
+    def of_characters(x: Column) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.size(x) - n + 1, F.lit(1)))
+        return F.when(F.size(x) >= n, F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(x, i, F.lit(n)), "")))).otherwise(F.array().cast("array<string>"))
+
+    return let(F.split(c, ""), of_characters) if first is None else let(F.substring(c, 1, first), grams)
 
 
 def bigrams(c: Column) -> Column:

@@ -331,6 +331,15 @@ def postings_trigrams(spark, d):
     return retrieval.postings_channel("tri", _bench(spark, d), _corpus(spark, d), text.char_grams(F.col("key")), 5000, 10, 1, 20)
 
 
+_ALL_GRAMS = "list_transform(range(1, length(key) - 1), lambda i: substr(key, i, 3))"
+
+
+@query(_postings_sql("tri", _ALL_GRAMS, _ANY, 10, 20))
+def postings_trigrams_all(spark, d):
+    """postings_trigrams over whole texts, without a bound on a 3-gram's documents."""
+    return retrieval.postings_channel("tri", _bench(spark, d), _corpus(spark, d), text.char_grams(F.col("key"), first=None), None, 10, 1, 20)
+
+
 @query(_postings_sql("big", _BI, 3000, 6, 20))
 def postings_bigrams(spark, d):
     return retrieval.postings_channel("big", _bench(spark, d), _corpus(spark, d), text.bigrams(F.col("key")), 3000, 6, 1, 20)

@@ -101,3 +101,13 @@ def test_holders_have_no_rank_or_frequency_cut(spark):
     docs = spark.createDataFrame(rows, "t long, key string")
     bench = spark.createDataFrame([(1, passage), (2, "two words"), (3, "")], "q long, key string")
     assert {tuple(r) for r in queries.holders(bench, docs).collect()} == {(1, t) for t in range(30)} | {(2, 101)}
+
+
+def test_grams_of_the_whole_text(spark):
+    keys = ["x" * 50 + "zebra", "ab", "", "é💡ab"]
+    got = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k string").select(text.char_grams(F.col("k"), first=None)).collect()]
+    assert got == [["xxx", "xxz", "xze", "zeb", "ebr", "bra"], [], [], ["é💡a", "💡ab"]]
+
+
+def test_postings_trigrams_all_matches_duckdb(spark):
+    test_query_matches_duckdb(spark, "postings_trigrams_all")
