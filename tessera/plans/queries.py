@@ -124,6 +124,18 @@ def script_mask(spark, d):
     return spark.sql(f"SELECT * FROM {_SAMPLES} AS v(i, s)").select("i", text.script_mask(F.col("s")).alias("mask"))
 
 
+_SCRIPT_ROWS = f"(SELECT 'documents' AS source, doc_id::VARCHAR AS id, text AS s FROM documents UNION ALL SELECT 'part', p_partkey::VARCHAR, p_name FROM part UNION ALL SELECT 'literal', i::VARCHAR, s FROM {_SAMPLES} AS v(i, s))"
+
+
+@query(f"SELECT source, id, ({' + '.join(f"CASE WHEN regexp_matches(s, '\\p{{{s}}}') THEN {1 << k} ELSE 0 END" for k, s in enumerate(text.SCRIPTS))} + CASE WHEN regexp_matches(regexp_replace(s, '[{_KNOWN}]', '', 'g'), '\\p{{L}}') THEN 1024 ELSE 0 END)::INT AS mask FROM {_SCRIPT_ROWS}")
+def script_mask_all(spark, d):
+    """Masks of every document, every part name and the literal strings."""
+    docs = _docs(spark, d).select(F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("id"), F.col("text").alias("s"))
+    names = read_parquet(spark, d, "part").select(F.lit("part"), F.col("p_partkey").cast("string"), "p_name")
+    rows = docs.unionAll(names).unionAll(spark.sql(f"SELECT 'literal', cast(i AS string), s FROM {_SAMPLES} AS v(i, s)"))
+    return rows.select("source", "id", text.script_mask(F.col("s")).alias("mask"))
+
+
 def _skeleton_sql(c: str) -> str:
     for pattern, by in text.skeleton_steps():
         c = f"regexp_replace({c}, '{pattern}', '{by}', 'g')"

@@ -111,3 +111,9 @@ def test_grams_of_the_whole_text(spark):
 
 def test_postings_trigrams_all_matches_duckdb(spark):
     test_query_matches_duckdb(spark, "postings_trigrams_all")
+
+
+def test_script_mask_all_reads_its_tables(spark):
+    test_query_matches_duckdb(spark, "script_mask_all")
+    found = {r["source"]: r["count"] for r in queries.QUERIES["script_mask_all"](spark, DATA).groupBy("source").count().collect()}
+    assert found == {"documents": spark.read.parquet(f"{DATA}/documents.parquet").count(), "part": spark.read.parquet(f"{DATA}/part.parquet").count(), "literal": 6}
