@@ -163,7 +163,7 @@ ADR = "(lpad((o_orderkey % 97)::VARCHAR, 4, '0') || ' Elm St, No ' || (o_custkey
 
 
 def _addresses(spark, d):
-    return read_parquet(spark, d, "orders").select("o_orderkey", records.address_record(_address()).alias("a"))
+    return read_parquet(spark, d, "orders").select("o_orderkey", records.address_record(_address(), F.lit("US")).alias("a"))
 
 
 @query(f"SELECT o_orderkey, (o_orderkey % 97) || ' elm street ' || (o_custkey % 900000 + 10000) || ' connecticut' AS canon, 3 AS nsegments, 1 AS null_tokens, starts_with({ADR}, '0') AS had_zero, 'high' AS confidence FROM orders")

@@ -117,3 +117,13 @@ def test_script_mask_all_reads_its_tables(spark):
     test_query_matches_duckdb(spark, "script_mask_all")
     found = {r["source"]: r["count"] for r in queries.QUERIES["script_mask_all"](spark, DATA).groupBy("source").count().collect()}
     assert found == {"documents": spark.read.parquet(f"{DATA}/documents.parquet").count(), "part": spark.read.parquet(f"{DATA}/part.parquet").count(), "literal": 6}
+
+
+def test_address_noise_goes_to_a_fixpoint():
+    canon = lambda raw, country: records.address_features(raw, country)["address_canon"]
+    assert canon("HN HN 5 6, 12 Elm Rd, Pune Region, B03, Pune", "India") == "12 elm road pune"
+    assert canon("PO Box 0012, 4 Elm St, P.O. Box, Salem CDP, PMB 7", "US") == "4 elm street salem"
+    assert canon("HN 5, Salem CDP", "") == "hn 5 salem cdp"
+    assert canon("Plot No, No No 93", "") == "plot 93"
+    assert records.number_spans("Flat No C-0251, near gate 12A")[0] == {"raw": "C-0251", "canon": "c251", "context": "flat no"}
+    assert records.number_spans("Flat No C-0251, near gate 12A")[1] == {"raw": "12A", "canon": "12a", "context": "near gate"}
