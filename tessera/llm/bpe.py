@@ -80,9 +80,11 @@ class Transducer:
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.spaced = spec.get("decoder") is None
         self.look = lookahead(self.merges) if look is None else look
         self.symbols = byte_symbols()
         self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.token_of_decimal = {str(i): t for i, t in self.token_of.items()}
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         assert all("<|" in s for s in self.special)
@@ -196,17 +198,29 @@ class Decoder:
     """Incremental: feed() takes one token and gives the text that is certain by then.
 
     States are those of UTF-8: bytes of an unfinished character wait; bytes that cannot begin or
-    go on with a character become U+FFFD; a word end becomes a space.
+    go on with a character become U+FFFD; a word end becomes a space. With `spaced`, as for a file
+    that names no decoder, tokens are joined by spaces and nothing waits.
     """
 
-    def __init__(self, end: str = "</w>"):
+    def __init__(self, end: str = "</w>", spaced: bool = False):
         import codecs
 
+        self.spaced, self.began = spaced, False
+
         self.back = {s: b for b, s in enumerate(byte_symbols())}
         self.end = end
         self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
 
+    def feed_all(self, tokens: list[str]) -> str:
+        if not self.spaced:
+            return "".join(map(self.feed, tokens))
+        out = " ".join(["", *tokens] if self.began else tokens)
+        self.began = self.began or bool(tokens)
+        return out
+
     def feed(self, token: str) -> str:
+        if self.spaced:
+            return self.feed_all([token])
         ends = bool(self.end) and token.endswith(self.end)
         body = token.removesuffix(self.end) if ends else token
         out = self.utf8.decode(bytes(self.back[c] for c in body))
@@ -219,6 +233,15 @@ class Decoder:
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("decoded_chars", pa.int64())])
 
 
+def digests(bpe: Transducer, text: str) -> tuple[int, str, str, int]:
+    """(ids, digest of the ids, digest and length of what the decoder gives for them)."""
+    ids = " ".join([e[0] for e in bpe.pieces(text)])
+    tokens = list(map(bpe.token_of_decimal.__getitem__, ids.split()))
+    decoder = Decoder(bpe.end, bpe.spaced)
+    shown = decoder.feed_all(tokens) + decoder.close()
+    return len(tokens), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest(), len(shown)
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text and decodes its ids; one row of digests for each. Nothing is shuffled."""
     spark = docs.sparkSession
@@ -231,10 +254,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
         bpe = Transducer(*file.value)
 
         def row(doc, text):
-            entries = list(bpe.pieces(text or ""))
-            ids, tokens, n = zip(*entries, strict=True) if entries else ((), (), ())
-            shown = " ".join(tokens)
-            return doc, sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest(), len(shown)
+            return doc, *digests(bpe, text or "")
 
         return row
 

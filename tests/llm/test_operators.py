@@ -84,6 +84,19 @@ def test_round_trip_rows(spark):
     assert got[1]["ids_sha256"] == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
 
 
+def test_round_trip_decodes_the_ids():
+    own, lib = bpe.Transducer(open(WORD, "rb").read()), Tokenizer.from_file(WORD)
+    assert own.spaced
+    for t in ODD:
+        want = lib.decode(lib.encode(t, add_special_tokens=False).ids, skip_special_tokens=False)
+        assert bpe.digests(own, t)[2:] == (hashlib.sha256(want.encode()).hexdigest(), len(want))
+    right = own.pieces("there")
+    own.pieces = lambda text: [(str(own.vocab["a</w>"]), right[0][1], 1)]
+    assert bpe.digests(own, "there")[2] == hashlib.sha256(b"a</w>").hexdigest()
+    d = bpe.Decoder(spaced=True)
+    assert d.feed_all([]) + d.feed("a") + d.feed_all(["b", "c"]) + d.close() == "a b c"
+
+
 def test_chat_round_trip(spark):
     r = random.Random(0)
     parts = ["<|", "[INST]", "</s>", "\\", "|>", "ok ", "\n", "<|end|>\n", "<|turn|>", "é", "\r"]
