@@ -4,8 +4,8 @@ A document is a bag of passages of which only the whole has a label. Every passa
 gated attention (Ilse et al., "Attention-based deep multiple instance learning", 2018) learns from
 document labels how much each counts; the weighted mean of the encodings is scored.
 
-Training uses at most `sample` labelled rows, those with the least hash of doc_id. Their passages'
-features, not their texts, come to the driver. Scoring covers every passage of every text.
+Training uses at most `sample` labelled rows, those with the least hash of doc_id. The
+features of every passage of theirs, not their texts, come to the driver. Scoring covers every passage of every text.
 
 Defined results: a null or empty text is one passage of zeros and gets a score; repeated rows get
 equal scores; labels that disagree for a doc_id count as their mean; without labels every score is
@@ -25,9 +25,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import small_batches
 from tessera.llm.passages import SIZE, features
 
-#: Passages of one training document that take part at most, spread evenly over it.
-BAG = 128
-
 
 class AttentionMil:
     """p = sigmoid(w . z + c), z = sum a_k h_k, h = tanh(W x + b), a = softmax(u . (tanh(V h) * sigmoid(G h)))."""
@@ -95,10 +92,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 3000
         for b in batches:
             out = []
             for text, y, d in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = features(text)
-                if len(x) > BAG:
-                    x = x[np.linspace(0, len(x) - 1, BAG).astype(int)]
-                out.append({"d": d, "y": y, "x": x.tobytes()})
+                out.append({"d": d, "y": y, "x": features(text).tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("d", pa.int64()), ("y", pa.float64()), ("x", pa.binary())]))
 
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "y", F.col("doc_id").cast("long").alias("d"))

@@ -191,6 +191,15 @@ def test_html(spark):
     assert [r["n_chars"] for r in html_text.main_text(df, html_text.learn(df)).collect()] == [0, 0]
 
 
+def test_quality_learns_from_every_passage(spark, monkeypatch):
+    texts = ["word " * 40_000, "short text"]
+    seen = []
+    monkeypatch.setattr(quality.AttentionMil, "fit", lambda self, bags, y: seen.extend(map(len, bags)) or self)
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    quality.learn(frame(spark, texts), labels, quality.F.lit(True))
+    assert seen == [len(quality.features(t)) for t in texts] and seen[0] > 128
+
+
 def test_quality_and_language_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.learn(docs, labels, remainder(3) != 1)
