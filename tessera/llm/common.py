@@ -18,10 +18,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of the columns has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="tessera-"))
     return found.rstrip("/")
 
@@ -41,27 +51,36 @@ def brief_shuffles(spark: SparkSession) -> Iterator[None]:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df into the shared folder and reads it back, which cuts its lineage.
 
-    The table outlives the loss of any executor, unlike a local checkpoint.
+    The table outlives the loss of any executor, unlike a local checkpoint. forget() deletes it; what is not
+    forgotten, because a result that the caller has yet to read rests on it, goes when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
     with brief_shuffles(spark):
         df.write.parquet(path)
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
+    out.written_to = [path]
     return out
 
 
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def forget(df: DataFrame) -> None:
-    """Deletes the files behind a table made by written(), once nothing will read them."""
-    spark = df.sparkSession
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.written_to)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """Deletes the files behind a table made by written(), once nothing will read them; other frames are left alone."""
+    for path in getattr(df, "written_to", []):
+        where, files = _files(df.sparkSession, path)
+        files.delete(where, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Long texts pass to Python in small Arrow batches, so that a worker's memory stays bounded."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
 def per_row(columns: list[str], schema: pa.Schema, make: Callable[[], Callable[..., tuple]]):
@@ -103,4 +122,6 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         if sums == before:
             break
         before = sums
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out = now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    out.written_to = now.written_to
+    return out

@@ -1,28 +1,32 @@
 """N-gram Jaccard join by a token-group matrix.
 
-Similar documents are partitioned into groups first. A set's shingles are dealt by hash into SPREAD times
-as many parts as two similar sets can differ in; so two that reach the threshold agree on whole parts, and a
-key made of a part's shingles finds them. How often keys occur in the corpus is counted over all texts in a
-sketch of fixed size, and a set gives its rarest keys only: one more than can differ, so that of the parts two
-similar sets agree on at least one is among both sets' (the prefix filter; any common order of the keys keeps
-this exact, and collisions in the sketch only change the order). A passage that many documents share has
-frequent keys, and connects only sets made mostly of such passages. (Parts depend on a size class; a set also
-deals by the class below its own, for smaller partners.) Documents that any chain of keys connects are one
-candidate group: every link lies within a group.
+Similar documents are partitioned into groups first. Of two sets that link, any common order of the shingles has
+one in both prefixes: a set's first n - ceil(t n) + 1 shingles of n (the prefix filter). The order is by the exact
+number of documents that hold a shingle, the rarest first, so that a passage which many documents share comes last,
+and connects only sets made mostly of such passages; a shingle that one document holds connects nothing and is not
+sent on. Sets connect by a shingle only where their sizes are of one class or neighbouring ones, which all sets
+that link are. Documents that any chain of such shingles connects are one candidate group: every link lies within
+a group.
+
+The numbers come by two shuffles in proportion to the input, without a table that every task would hold. Texts lie
+in shards, rows of about SHARD shingles. A shard sends its distinct shingles, sorted, to the ranges that they fall
+in; a range counts them over all shards and answers each with one byte a shingle in the order in which they came;
+the answers meet the shard again, which then knows its documents' prefixes.
 
 Within a group, documents lie in blocks of bounded size, and those in small groups of BUNDLE in the order of
 their least shingle. The token-group matrix holds the union of each bundle's shingles; how many of a
 query's shingles a bundle holds bounds its overlap with each member; only bundles whose bound qualifies are
 opened, and their members compared exactly. Documents already connected are not compared again.
 
-Equal sets are one class from the start, keys are thinned to one entry for each task before they
+Equal sets are one class from the start, prefixes are thinned to one entry for each shard before they
 are shuffled, and no step lists the pairs of a group. A group of several blocks is joined by the blocks'
 largest classes; then only what lies outside the largest is compared with the other blocks, or, where that is
 most of the group, each block with half of them.
 
 Defined results: a null text, or one without words, has no shingles and is a component by itself; a null
-doc_id links with nothing; rows that repeat a doc_id are compared by each one's text; an empty table gives no
-rows; other columns are ignored.
+doc_id links with nothing; rows that repeat a doc_id are compared by each one's text; of equal sizes and ties in
+the order nothing depends; a text of any length is taken whole; an empty table gives no rows; other columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -32,81 +36,29 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import connected_components, small_batches, written
+from tessera.llm.common import connected_components, forget, small_batches, written
 from tessera.llm.hashing import mix, shingle_set
 
 _U = np.uint64
 #: Documents and shingles of a block; documents of a bundle, a row of the matrix.
-BLOCK, BLOCK_TOKENS, BUNDLE = 4096, 1_000_000, 32
+BLOCK, BLOCK_TOKENS, BUNDLE = 1024, 1_000_000, 32
 #: Rows of four numbers that are sent to every executor at most; beyond them texts are shuffled to their groups.
 BROADCAST_ROWS = 300_000
-#: Entries that a task thins at once.
-THIN = 2_000_000
-#: Parts for each shingle that may differ.
-SPREAD = 2
-#: Counters of the sketch of key frequencies, as a power of two, and how many of them a row holds. The sketch has
-#: this size for any corpus; keys stand out that occur a few times the square root of a counter's mean.
-SKETCH_BITS, SKETCH_ROW = 24, 1 << 16
-#: What a task's counter counts to; one that reaches it only ranks its keys as frequent.
-MOST = (1 << 16) - 1
-
-
-def differ(a: int, b: int, percent: int) -> int:
-    """Shingles that are in one of two sets of these sizes only, at most, if they link."""
-    return (a + b) * (100 - percent) // (100 + percent)
-
-
-class Classes:
-    """Size classes: of each, the first size, and into how many parts its sets are dealt."""
-
-    def __init__(self, percent: int):
-        self.percent, self.first, self.parts = percent, [1], []
-
-    def _grow(self) -> None:
-        low = self.first[-1]
-        high = max(low + 1, -(-low * 100 // self.percent))
-        most = differ(high - 1, (high - 1) * 100 // self.percent, self.percent)
-        self.first.append(high)
-        self.parts.append(SPREAD * most + 1 if most else 0)
-
-    def of(self, n: int) -> int:
-        while self.first[-1] <= n:
-            self._grow()
-        return int(np.searchsorted(self.first, n, "right")) - 1
-
-    def keys(self, tokens: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-        """Keys of a set for each class that it deals by, and how many of them, the first in any common order, find each set that links with it."""
-        n = len(tokens)
-        own, values = self.of(n), mix(tokens)
-        for c, largest in ((own, n * 100 // self.percent), (own - 1, self.first[own] - 1)):
-            if c < 0 or not self.parts[c]:
-                continue
-            m, most = self.parts[c], differ(n, largest, self.percent)
-            part = (mix(tokens + _U((2 * c + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) % _U(m)).astype(np.int64)
-            total = np.zeros(m, np.uint64)
-            np.add.at(total, part, values)
-            held = np.bincount(part, minlength=m) > 0
-            key = mix(total + mix(np.arange(m, dtype=np.uint64) + _U(c << 32)))
-            if held.sum() > most:
-                yield key[held], most + 1
-            else:  # so few that it may agree on empty parts only: all, empty ones too
-                yield key, m
+#: Shingles of a shard, and those that a range counts at once.
+SHARD, RANGE = 1_000_000, 2_000_000
 
 
-def slot(keys: np.ndarray) -> np.ndarray:
-    """The counter of each key."""
-    return (keys >> _U(64 - SKETCH_BITS)).astype(np.int64)
+def prefix(n: int, percent: int) -> int:
+    """How many of a set's shingles, the first in any common order, meet those of each set that links with it."""
+    return n - -(-n * percent // 100) + 1
 
 
-def rarest(classes: Classes, tokens: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The keys of a set that it is found by, with the counters `seen`."""
-    out = [np.zeros(0, np.uint64)]
-    for keys, need in classes.keys(tokens):
-        out.append(keys if need >= len(keys) else keys[np.lexsort((keys, seen[slot(keys)]))[:need]])
-    return np.concatenate(out)
+def size_class(sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Numbers of classes such that the sizes of two sets that link are in one class or in neighbouring ones."""
+    return np.floor(np.log(np.maximum(sizes, 1)) / np.log(100 / percent) + 1e-9).astype(np.int32)
 
 
 def grade(n: np.ndarray) -> np.ndarray:
@@ -114,22 +66,28 @@ def grade(n: np.ndarray) -> np.ndarray:
     return np.where(n < 128, n, np.minimum(255, 128 + 8 * (np.log2(np.maximum(n, 128)) - 7))).astype(np.uint8)
 
 
-def summed(rows: DataFrame) -> np.ndarray:
-    """The graded sketch from its tasks' (block, counts): summed by block, then of fixed size on the driver."""
+class Segment:
+    """Sorted shingles of one shard in one range, cut to 48 bits, with the number of the shard's documents that hold each.
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd")
-        pairs = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        for block, group in groupby(pairs, key=lambda r: r[0]):
-            total = np.zeros(SKETCH_ROW, np.int64)
-            for _, counts in group:
-                total += np.frombuffer(codec.decompress(counts, 2 * SKETCH_ROW), np.uint16)
-            yield pa.RecordBatch.from_pylist([{"block": block, "counts": grade(total).tobytes()}], schema=pa.schema([("block", pa.int32()), ("counts", pa.binary())]))
-
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for r in rows.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, counts binary").collect():
-        out[r["block"] * SKETCH_ROW : (r["block"] + 1) * SKETCH_ROW] = np.frombuffer(r["counts"], np.uint8)
-    return out
+    Two shingles of the same 48 bits count together, which only moves them in the order, the same for all.
+    """
+
+    @staticmethod
+    def pack(tokens: np.ndarray, counts: np.ndarray) -> bytes:
+        high, low = (tokens >> _U(48)).astype(np.uint16), (tokens >> _U(16)).astype(np.uint32)
+        rest = np.concatenate((high, np.minimum(counts, 65535).astype(np.uint16))).tobytes()
+        return pa.Codec("zstd").compress(rest, asbytes=True) + low.tobytes()
+
+    @staticmethod
+    def unpack(data: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+        low = np.frombuffer(data[len(data) - 4 * n :], np.uint32)
+        rest = np.frombuffer(pa.Codec("zstd").decompress(data[: len(data) - 4 * n], 4 * n, asbytes=True), np.uint16)
+        return rest[:n].astype(np.uint64) << _U(32) | low, rest[n:].astype(np.int64)
+
+
+def range_of(tokens: np.ndarray, ranges: int) -> np.ndarray:
+    """The range of each shingle, of equal width; by the upper 32 bits, so what counts together is in one range."""
+    return ((tokens >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
 
 
 def signature(tokens: np.ndarray) -> tuple[int, int]:
@@ -138,17 +96,23 @@ def signature(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(x - (1 << 64) if x >> 63 else x for x in (a, b))
 
 
-def thin(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One entry for each key, that of its least node; and the (node, least) edges of the others."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
+def thin(keys: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """One entry for each key and size class, that of its least node; and the (node, least) edges of the others."""
+    order = np.lexsort((nodes, sizes, keys))
+    keys, sizes, nodes = keys[order], sizes[order], nodes[order]
     first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(first)
-    least = nodes[at][np.cumsum(first) - 1]
+    first[1:] = (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])
+    least = nodes[np.flatnonzero(first)][np.cumsum(first) - 1]
     other = nodes != least
     edges = np.unique(np.stack((nodes[other], least[other]), axis=1), axis=0)
-    return keys[first], nodes[first], edges
+    return keys[first], sizes[first], nodes[first], edges
+
+
+def meeting(keys: np.ndarray, sizes: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """Edges between the nodes of a key in one size class or in neighbouring ones."""
+    keys, sizes, nodes, edges = thin(keys, sizes, nodes)
+    near = np.flatnonzero((keys[1:] == keys[:-1]) & (sizes[1:] - sizes[:-1] == 1) & (nodes[1:] != nodes[:-1]))
+    return np.concatenate((edges, np.stack((nodes[near + 1], nodes[near]), axis=1)))
 
 
 class Linker:
@@ -228,147 +192,253 @@ def _edges(pairs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], schema=EDGE)
 
 
-def candidate_groups(docs: DataFrame, shingle: int, percent: int, tasks: int, seen: np.ndarray) -> DataFrame:
-    """(node, component) over the first number of signatures: the candidate groups."""
-    shared = docs.sparkSession.sparkContext.broadcast(seen)
-    dealt = pa.schema([("p", pa.int32()), ("edges", pa.bool_()), ("a", pa.binary()), ("b", pa.binary())])
+def _text(data: bytes) -> str:
+    return data.decode("utf-8", "surrogatepass")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, keys, nodes, held = Classes(percent), [], [], 0
 
-        def out() -> pa.RecordBatch:
-            k, n, e = thin(np.concatenate(keys), np.concatenate(nodes))
+def shards(docs: DataFrame, shingle: int) -> DataFrame:
+    """Two kinds of rows, written: (doc_id, h, n, s, t) of every document, with its text's hash, number of shingles and signature;
+    and (shard, ends, blob), the compressed texts of about SHARD shingles, in UTF-8, and where each ends."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("shard", pa.int64()), ("ends", pa.binary()), ("blob", pa.binary())])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        codec, number, held, texts = pa.Codec("zstd"), TaskContext.get().partitionId() << 32, 0, []
+
+        def shard() -> pa.RecordBatch:
+            nonlocal number, held
+            ends = np.cumsum([len(t) for t in texts])
+            row = {"shard": number, "ends": ends.astype(np.int64).tobytes(), "blob": codec.compress(b"".join(texts), asbytes=True)}
+            number, held = number + 1, 0
+            texts.clear()
+            return pa.RecordBatch.from_pylist([row], schema=kinds)
+
+        for b in batches:
+            n, marks = [], []
+            for key, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                tokens = shingle_set(text, shingle)
+                n.append(len(tokens))
+                marks.append(signature(tokens))
+                if len(tokens) and key is not None:
+                    texts.append(text.encode("utf-8", "surrogatepass"))
+                    held += len(tokens)
+                    if held >= SHARD:
+                        yield shard()
+            columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.binary()), pa.nulls(len(n), pa.binary())], schema=kinds)
+        if texts:
+            yield shard()
+
+    return written(docs.mapInArrow(sign, "doc_id long, h long, n long, s long, t long, shard long, ends binary, blob binary"), "shards")
+
+
+def sets_of(ends: bytes, blob: bytes, shingle: int) -> list[np.ndarray]:
+    """The shingles of each text of a shard."""
+    at = np.frombuffer(ends, np.int64).tolist()
+    data = pa.Codec("zstd").decompress(blob, at[-1], asbytes=True)
+    return [shingle_set(_text(data[i:j]), shingle) for i, j in zip([0, *at], at, strict=False)]
+
+
+def frequencies(held: DataFrame, shingle: int, ranges: int, tasks: int) -> DataFrame:
+    """(shard, place, grades): for each shard and range, in order, graded numbers of documents that hold its shingles; written."""
+    sent = pa.schema([("place", pa.int32()), ("shard", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary())])
+    answers = pa.schema([("shard", pa.int64()), ("place", pa.int32()), ("grades", pa.binary())])
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for shard, ends, blob in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                tokens, counts = np.unique(np.concatenate(sets_of(ends, blob, shingle)), return_counts=True)
+                cuts = np.searchsorted(range_of(tokens, ranges), np.arange(ranges + 1))
+                rows = [{"place": r, "shard": shard, "n": int(j - i), "tokens": Segment.pack(tokens[i:j], counts[i:j])} for r, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+                yield pa.RecordBatch.from_pylist(rows, schema=sent)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd")
+        rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for place, group in groupby(rows, key=lambda r: r[0]):
+            to, tokens, counts = [], [], []
+            for _, shard, n, data in group:
+                t, c = Segment.unpack(data, n)
+                to.append(shard)
+                tokens.append(t)
+                counts.append(c)
+            ends = np.cumsum([len(t) for t in tokens])
+            every = np.concatenate(tokens)
+            order = np.argsort(every, kind="stable")
+            fresh = np.append(True, every[order][1:] != every[order][:-1])
+            df = np.add.reduceat(np.concatenate(counts)[order], np.flatnonzero(fresh))
+            grades = np.empty(len(every), np.uint8)
+            grades[order] = grade(df)[np.cumsum(fresh) - 1]
+            for shard, part in zip(to, np.split(grades, ends[:-1]), strict=True):
+                yield pa.RecordBatch.from_pylist([{"shard": shard, "place": place, "grades": codec.compress(part.tobytes(), asbytes=True)}], schema=answers)
+
+    dealt = held.select("shard", "ends", "blob").mapInArrow(send, "place int, shard long, n long, tokens binary")
+    dealt = dealt.repartition(tasks, "place").sortWithinPartitions("place")
+    return written(dealt.mapInArrow(count, "shard long, place int, grades binary"), "grades")
+
+
+def candidate_groups(held: DataFrame, shingle: int, percent: int, total: int) -> DataFrame:
+    """(node, component) over the first number of signatures: the candidate groups of the shards' documents."""
+    ranges = max(1, total // RANGE)
+    tasks = max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges)
+    grades = frequencies(held, shingle, ranges, tasks)
+    dealt = pa.schema([("p", pa.int32()), ("edges", pa.bool_()), ("a", pa.binary()), ("b", pa.binary()), ("sizes", pa.binary())])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec, known = pa.Codec("zstd"), []
+        rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for _, place, z, ends, blob in rows:
+            if place is not None:  # a shard's answers sort before its texts
+                known.append(z)
+                continue
+            sets = sets_of(ends, blob, shingle)
+            tokens, home = np.unique(np.concatenate(sets), return_inverse=True)
+            lengths = np.diff(np.searchsorted(range_of(tokens, ranges), np.arange(ranges + 1)))
+            df = np.concatenate([np.frombuffer(codec.decompress(k, int(n), asbytes=True), np.uint8) for k, n in zip(known, lengths[lengths > 0], strict=True)])
+            known.clear()
+            at, keys, sizes, nodes = 0, [], [], []
+            for s in sets:
+                own = home[at : at + len(s)]
+                at += len(s)
+                first = own[np.argsort(df[own], kind="stable")[: prefix(len(s), percent)]]
+                first = first[df[first] > 1]
+                if len(first):
+                    keys.append(tokens[first])
+                    sizes.append(np.full(len(first), len(s)))
+                    nodes.append(np.full(len(first), signature(s)[0]))
+            if not keys:
+                continue
+            k, c, n, e = thin(np.concatenate(keys), size_class(np.concatenate(sizes), percent), np.concatenate(nodes))
             p = (mix(k) % _U(tasks)).astype(np.int64)
             order = np.argsort(p, kind="stable")
-            k, n, ends = k[order], n[order], np.searchsorted(p[order], np.arange(tasks + 1))
-            rows = [{"p": i, "edges": False, "a": k[ends[i] : ends[i + 1]].tobytes(), "b": n[ends[i] : ends[i + 1]].tobytes()} for i in range(tasks) if ends[i] < ends[i + 1]]
+            k, c, n, cuts = k[order], c[order], n[order], np.searchsorted(p[order], np.arange(tasks + 1))
+            out = [{"p": i, "edges": False, "a": k[cuts[i] : cuts[i + 1]].tobytes(), "b": n[cuts[i] : cuts[i + 1]].tobytes(), "sizes": c[cuts[i] : cuts[i + 1]].tobytes()} for i in range(tasks) if cuts[i] < cuts[i + 1]]
             for i in range(0, len(e), 10_000):
                 part = e[i : i + 10_000]
-                rows.append({"p": int(part[0, 0] % tasks), "edges": True, "a": part[:, 0].tobytes(), "b": part[:, 1].tobytes()})
-            keys.clear()
-            nodes.clear()
-            return pa.RecordBatch.from_pylist(rows, schema=dealt)
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                tokens = shingle_set(text, shingle)
-                if len(tokens):
-                    k = rarest(classes, tokens, shared.value)
-                    keys.append(k)
-                    nodes.append(np.full(len(k), signature(tokens)[0]))
-                    held += len(k)
-            if held > THIN:
-                yield out()
-                held = 0
-        if keys:
-            yield out()
+                out.append({"p": int(part[0, 0] % tasks), "edges": True, "a": part[:, 0].tobytes(), "b": part[:, 1].tobytes(), "sizes": None})
+            yield pa.RecordBatch.from_pylist(out, schema=dealt)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for _, group in groupby(rows, key=lambda r: r[0]):
-            keys, nodes = [], []
-            for _, edges, a, b in group:
+            keys, sizes, nodes = [], [], []
+            for _, edges, a, b, c in group:
                 if edges:
                     yield _edges(np.stack((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)), axis=1))
                 else:
                     keys.append(np.frombuffer(a, np.uint64))
                     nodes.append(np.frombuffer(b, np.int64))
+                    sizes.append(np.frombuffer(c, np.int32))
             if keys:
-                yield _edges(thin(np.concatenate(keys), np.concatenate(nodes))[2])
+                yield _edges(meeting(np.concatenate(keys), np.concatenate(sizes), np.concatenate(nodes)))
+
+    none = F.lit(None).cast("binary")
+    both = grades.select("shard", "place", "grades", none.alias("ends"), none.alias("blob")).unionAll(held.select("shard", F.lit(None).cast("int"), none, "ends", "blob"))
+    met = both.repartition(tasks, "shard").sortWithinPartitions("shard", F.col("place").asc_nulls_last())
+    spread = met.mapInArrow(deal, "p int, edges boolean, a binary, b binary, sizes binary").repartition(tasks, "p").sortWithinPartitions("p")
+    edges = written(spread.mapInArrow(meet, "a long, b long"), "edges")
+    forget(grades)
+    out = connected_components(edges, "candidates")
+    forget(edges)
+    return out
 
-    spread = docs.select("text").mapInArrow(deal, "p int, edges boolean, a binary, b binary").repartition(tasks, "p").sortWithinPartitions("p")
-    return connected_components(spread.mapInArrow(meet, "a long, b long"), "candidates")
 
+def components(docs: DataFrame, shingle: int = 5, percent: int = 80, text_hash: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of (doc_id, text): 100 * intersection >= percent * union links.
 
-def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of (doc_id, text): 100 * intersection >= percent * union links."""
+    With text_hash, a 64-bit hash of the text that tells rows of one doc_id apart, there are a column of that name and
+    component, a number of the row's component (null without shingles or doc_id), which no two components share.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("s", pa.int64()), ("t", pa.int64()), ("block", pa.int32()), ("counts", pa.binary())])
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, seen = Classes(percent), np.zeros(1 << SKETCH_BITS, np.uint16)
-        for b in batches:
-            found = [shingle_set(t, shingle) for t in b.column(1).to_pylist()]
-            held = [slot(keys) for x in found if len(x) for keys, _ in classes.keys(x)]
-            if held:
-                at, n = np.unique(np.concatenate(held), return_counts=True)
-                seen[at] = np.minimum(seen[at] + n, MOST)
-            marks = [signature(x) for x in found]
-            columns = [b.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(found), pa.int32()), pa.nulls(len(found), pa.binary())], schema=sets)
-        codec = pa.Codec("zstd")
-        rows = [{"block": i, "counts": codec.compress(counts.tobytes(), asbytes=True)} for i, counts in enumerate(seen.reshape(-1, SKETCH_ROW)) if counts.any()]
-        yield pa.RecordBatch.from_pylist(rows, schema=sets)
-
-    both = written(docs.mapInArrow(sign, "doc_id long, n long, s long, t long, block int, counts binary"), "sets")
-    signed, seen = both.where("block is null").drop("block", "counts"), summed(both.where("block is not null").select("block", "counts"))
+    named = F.lit(None).cast("long") if text_hash is None else text_hash
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), named.alias("h"), "text")
+    both = shards(docs, shingle)
+    signed, held = both.where("shard is null").select("doc_id", "h", "n", "s", "t"), both.where("shard is not null").select("shard", "ends", "blob")
     total = signed.agg(F.sum("n")).first()[0] or 0
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * (100 - percent) * 4 / 100 / 1_000_000))
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("s", "t", "n").agg(F.min("doc_id").alias("rep"))
-    groups = candidate_groups(docs, shingle, percent, tasks, seen)
-    held = written(classes.join(groups, F.col("s") == F.col("node")).select("rep", "n", F.col("component").alias("g")), "members")
-    sizes = held.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"))
-    held = held.join(sizes, "g").select("rep", "g", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
-
-    packed = pa.schema([("doc_id", pa.int64()), ("z", pa.binary()), ("size", pa.int64())])
+    # a class has a number of its own, for rows of one doc_id may be of several
+    classes = signed.where("n > 0 and doc_id is not null").groupBy("s", "t", "n").agg(F.min("doc_id").alias("low"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    groups = candidate_groups(held, shingle, percent, total)
+    held = written(classes.join(groups, F.col("s") == F.col("node")).select("rep", "low", "s", "t", "n", F.col("component").alias("g")), "members")
+    forget(groups)
+    sizes = held.groupBy("g").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_TOKENS)).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    held = held.join(sizes, "g").select("rep", "low", "s", "t", "g", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"))
 
     def press(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
+        at = None
         for b in batches:
-            data = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.compress(d, asbytes=True) for d in data], pa.binary()), pa.array([len(d) for d in data], pa.int64())], schema=packed)
-
-    texts = docs.where("doc_id is not null").mapInArrow(press, "doc_id long, z binary, size long")
-    few = held.count() <= BROADCAST_ROWS
-    held = (F.broadcast(held) if few else held).join(texts, F.col("rep") == F.col("doc_id")).select("g", "blocks", "block", "rep", "z", "size")
-
-    def opened(codec: pa.Codec, z: bytes, size: int) -> np.ndarray:
-        return shingle_set(codec.decompress(z, size, asbytes=True).decode("utf-8", "surrogatepass") if size else "", shingle)
+            at = b.schema.get_field_index("text")
+            data = [(t or "").encode("utf-8", "surrogatepass") for t in b.column(at).to_pylist()]
+            rest = [c for i, c in enumerate(b.columns) if i != at]
+            names = [f.name for i, f in enumerate(b.schema) if i != at]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([codec.compress(d, asbytes=True) for d in data], pa.binary()), pa.array([len(d) for d in data], pa.int64())], names=[*names, "z", "size"])
+
+    member = "g long, blocks int, block int, rep long, s long, t long"
+    if held.count() <= BROADCAST_ROWS:
+        found = docs.select("doc_id", "text").join(F.broadcast(held), F.col("low") == F.col("doc_id")).select("g", "blocks", "block", "rep", "s", "t", "text")
+        held = found.mapInArrow(press, f"{member}, z binary, size long")
+    else:
+        pressed = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(press, "doc_id long, z binary, size long")
+        held = held.join(pressed, F.col("low") == F.col("doc_id")).select("g", "blocks", "block", "rep", "s", "t", "z", "size")
+    shown = ["g", "block", "rep", "s", "t", "z", "size"]
+
+    def opened(codec: pa.Codec, row: tuple) -> np.ndarray | None:
+        """The set of (s, t, z, size); None where the text is another one of that doc_id."""
+        s, t, z, size = row
+        tokens = shingle_set(_text(codec.decompress(z, size, asbytes=True)) if size else "", shingle)
+        return tokens if signature(tokens) == (s, t) else None
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd")
         rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
         for _, block in groupby(rows, key=lambda r: r[:2]):
-            reps, found = [], []
-            for _, _, rep, z, size in block:
-                tokens = opened(codec, z, size)
-                if len(tokens):
-                    reps.append(rep)
-                    found.append(tokens)
-            if len(reps) > 1:
-                yield _edges([(reps[i], reps[j]) for i, j in Linker(found, list(range(len(reps))), percent).within()])
+            found: dict[int, np.ndarray] = {}
+            for _, _, rep, *row in block:
+                if rep not in found and (tokens := opened(codec, row)) is not None:
+                    found[rep] = tokens
+            if len(found) > 1:
+                reps = list(found)
+                yield _edges([(reps[i], reps[j]) for i, j in Linker(list(found.values()), list(range(len(reps))), percent).within()])
 
     def blocks(rows: DataFrame) -> DataFrame:
-        return rows.repartition("g", "block").sortWithinPartitions("g", "block", "rep").select("g", "block", "rep", "z", "size").mapInArrow(link, "a long, b long")
+        return rows.select(shown).repartition("g", "block").sortWithinPartitions("g", "block", "rep").mapInArrow(link, "a long, b long")
 
-    near = written(blocks(held), "near")
     wide = sizes.where("blocks > 1").select("g")
-    if not wide.isEmpty():
-        large = written(held.join(wide, "g", "left_semi"), "wide")
-        label = connected_components(near, "blocks")
+    if wide.isEmpty():
+        near = written(blocks(held), "near")
+    else:
+        held = written(held, "texts")
+        large = held.join(wide, "g", "left_semi")
+        within = written(blocks(held), "near")
+        label = connected_components(within, "blocks")
         labelled = large.join(label, large["rep"] == label["node"], "left").withColumn("label", F.coalesce("component", "rep")).drop("node", "component")
         # the largest class of each block meets those of the group's other blocks
         top = labelled.groupBy("g", "block", "label").agg(F.count("*").alias("n")).groupBy("g", "block").agg(F.max(F.struct("n", F.negative("label").alias("l"))).alias("m"))
         heads = top.select("g", F.negative("m.l").alias("rep"))
         met = large.join(heads, ["g", "rep"], "left_semi").withColumn("block", F.lit(-1))
-        near = written(near.unionAll(blocks(met)), "joined")
-        label = connected_components(near, "joined")
-        labelled = written(large.join(label, large["rep"] == label["node"], "left").withColumn("label", F.coalesce("component", "rep")).select("g", "blocks", "block", "rep", "z", "size", "label"), "labelled")
+        joined = written(within.unionAll(blocks(met)), "joined")
+        forget(label)
+        label = connected_components(joined, "joined")
+        labelled = large.join(label, large["rep"] == label["node"], "left").withColumn("label", F.coalesce("component", "rep")).select(*shown, "blocks", "label")
         main = labelled.groupBy("g", "label").agg(F.count("*").alias("n")).groupBy("g").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("all")).select("g", F.col("m.label").alias("main"), (F.col("all") > 2 * F.col("m.n")).alias("most"))
         # where most lie outside, all ask, but of two blocks one asks the other; no block asks itself again
         asked = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda to: F.when(F.col("most"), (F.col("own") < to) == ((F.col("own") + to) % 2 == 0)).otherwise(F.col("label") != F.col("main")) & (F.col("own") != to))
         outside = labelled.join(main, "g").withColumnRenamed("block", "own").withColumn("block", F.explode(asked))
-        both = labelled.select("g", "block", F.lit(False).alias("query"), "rep", "label", "z", "size").unionAll(outside.select("g", "block", F.lit(True), "rep", "label", "z", "size"))
+        crossing = ["rep", "label", "s", "t", "z", "size"]
+        both_sides = labelled.select("g", "block", F.lit(False).alias("query"), *crossing).unionAll(outside.select("g", "block", F.lit(True), *crossing))
 
         def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             codec = pa.Codec("zstd")
             rows = (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True))
             for _, block in groupby(rows, key=lambda r: r[:2]):
                 reps, labels, found, linker, pairs = [], [], [], None, []
-                for _, _, query, rep, mark, z, size in block:
-                    tokens = opened(codec, z, size)
+                for _, _, query, rep, mark, *row in block:
+                    tokens = opened(codec, row)
+                    if tokens is None:
+                        continue
                     if not query:
                         reps.append(rep)
                         labels.append(mark)
@@ -380,9 +450,16 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFram
                 if pairs:
                     yield _edges(pairs)
 
-        crossed = both.repartition("g", "block").sortWithinPartitions("g", "block", "query", "rep").mapInArrow(across, "a long, b long")
-        near = near.unionAll(crossed)
+        crossed = both_sides.repartition("g", "block").sortWithinPartitions("g", "block", "query", "rep").mapInArrow(across, "a long, b long")
+        near = written(joined.unionAll(crossed), "near")
+        for table in (label, joined, within, held):
+            forget(table)
     final = connected_components(near, "final")
-    rep = classes.join(final, F.col("rep") == F.col("node"), "left").select("s", "t", "n", F.coalesce("component", "rep").alias("c"))
-    out = signed.join(rep, ["s", "t", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c", "doc_id").alias("component_id"))
+    forget(near)
+    linked = classes.join(final, F.col("rep") == F.col("node")).select("s", "t", "n", "low", "component")
+    least = linked.groupBy("component").agg(F.min("low").alias("c"))
+    alone = classes.join(final, F.col("rep") == F.col("node"), "left_anti").select("s", "t", "n", F.col("low").alias("c"), F.col("rep").alias("k"))
+    known = linked.join(least, "component").select("s", "t", "n", "c", F.col("component").alias("k")).unionAll(alone)
+    out = signed.join(known, ["s", "t", "n"], "left")
+    more = [] if text_hash is None else [F.col("h").alias("text_hash"), F.when(F.col("doc_id").isNotNull(), F.col("k")).alias("component")]
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"), *more)

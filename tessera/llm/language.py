@@ -130,8 +130,8 @@ def learn(docs: DataFrame, usable: Column, per_lang: int = 500) -> Centroids:
     return Centroids(rows)
 
 
-def identified(docs: DataFrame, model: Centroids, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with `language`: struct<lang, score, rejected>, from the whole text."""
+def identified(docs: DataFrame, model: Centroids, keep: list[str], name: str = "language") -> DataFrame:
+    """The columns `keep` of docs with struct<lang, score, rejected>, from the whole text, in a column `name`."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -142,4 +142,4 @@ def identified(docs: DataFrame, model: Centroids, keep: list[str]) -> DataFrame:
         for b in batches:
             yield pa.array([dict(zip(("lang", "score", "rejected"), shared.value.predict(t), strict=True)) for t in b.to_pylist()], kind)
 
-    return docs.select(*keep, identify(F.col("text")).alias("language"))
+    return docs.select(*(docs[f"`{c}`"] for c in keep), identify(F.col("text")).alias(name))

@@ -104,8 +104,8 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, sample: int = 3000
 SCORES = pa.schema([("score", pa.float64())])
 
 
-def scored(docs: DataFrame, model: AttentionMil, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs with `score`, from the whole text."""
+def scored(docs: DataFrame, model: AttentionMil, keep: list[str], name: str = "score") -> DataFrame:
+    """The columns `keep` of docs with the score, from the whole text, in a column `name`."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
@@ -115,4 +115,4 @@ def scored(docs: DataFrame, model: AttentionMil, keep: list[str]) -> DataFrame:
         for b in batches:
             yield pa.array([shared.value.score(features(t)) for t in b.to_pylist()], pa.float64())
 
-    return docs.select(*keep, score(F.col("text")).alias("score"))
+    return docs.select(*(docs[f"`{c}`"] for c in keep), score(F.col("text")).alias(name))

@@ -138,11 +138,38 @@ def test_jaccard_against_brute_force(spark, k, percent, monkeypatch):
     links = [(i, j) for i in range(len(sets)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
     want = components_of(links, range(len(texts)))
     monkeypatch.setattr(jaccard, "BLOCK", 8)  # so that groups have several blocks
+    monkeypatch.setattr(jaccard, "SHARD", 900)  # and the texts several shards and ranges
+    monkeypatch.setattr(jaccard, "RANGE", 500)
     got = {x["doc_id"]: x for x in jaccard.components(frame(spark, texts), k, percent).collect()}
     assert {i: x["component_id"] for i, x in got.items()} == want
     assert all(got[i]["n_shingles"] == len(s) for i, s in enumerate(sets))
 
 
+def test_jaccard_repeated_ids_and_odd_rows(spark):
+    a, b = " ".join(map(str, range(60))), " ".join(map(str, range(100, 160)))
+    rows = [(1, a), (5, a + " x"), (5, b), (None, a), (7, None), (8, ""), (9, b)]
+    got = jaccard.components(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80, text_hash=jaccard.F.xxhash64("text")).collect()
+    by = {(r["doc_id"], r["n_shingles"]): r for r in got}
+    assert {k: r["component_id"] for k, r in by.items()} == {(1, 56): 1, (5, 57): 1, (5, 56): 5, (None, 56): None, (7, 0): 7, (8, 0): 8, (9, 56): 5}
+    assert by[1, 56]["component"] == by[5, 57]["component"] != by[5, 56]["component"] == by[9, 56]["component"]
+    assert by[None, 56]["component"] is None and by[7, 0]["component"] is None
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert jaccard.components(empty).collect() == [] and jaccard.components(spark.createDataFrame([(1, None)], "doc_id long, text string")).count() == 1
+
+
+def test_segments_and_prefixes():
+    t = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000, dtype=np.uint64) * np.uint64(2))
+    values, counts = jaccard.Segment.unpack(jaccard.Segment.pack(t, np.arange(len(t))), len(t))
+    assert (values == t >> np.uint64(16)).all() and (counts == np.arange(len(t))).all()
+    r = jaccard.range_of(t, 7)
+    assert (np.diff(r) >= 0).all() and set(r) == set(range(7))
+    for percent in (80, 90):
+        for a in range(1, 200):
+            for b in range(a, a * 100 // percent + 1):
+                x, y = jaccard.size_class(np.array([a, b]), percent)
+                assert y - x <= 1
+
+
 def test_embeddings_against_brute_force(spark):
     g = np.random.default_rng(4)
     x = g.normal(size=(150, 16))
