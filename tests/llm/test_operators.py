@@ -183,6 +183,31 @@ def test_embeddings_against_brute_force(spark):
         assert (r["n_links"], r["component_id"], r["kept"]) == (sum(a == i for a, _ in links), comp[i], comp[i] == i)
 
 
+def test_embeddings_at_the_threshold(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "TILE", 16)
+    monkeypatch.setattr(embeddings, "STRIP", 5)
+    monkeypatch.setattr(embeddings, "HELD", 3)
+    r = random.Random(3)
+    x = [[r.choice([-3, -1, 0, 1, 1, 2, 3, 9]) for _ in range(6)] for _ in range(150)]
+    for _ in range(150):  # (10, 0, ...) and (9, a, b, ...) with a^2 + b^2 + ... = 19, moved about: cosine 0.9
+        signs, places = [r.choice([-1, 1]) for _ in range(6)], r.sample(range(6), 6)
+        for v in ([10, 0, 0, 0, 0, 0], r.choice([[9, 3, 3, 1, 0, 0], [9, 1, 3, 3, 0, 0], [9, 4, 1, 1, 1, 0]])):
+            k = r.choice([1, 3, 0.5])
+            x.append([signs[i] * v[places[i]] * k for i in range(6)])
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b, strict=True))
+    links = [(i, j) for i in range(len(x)) for j in range(len(x)) if i != j and any(x[i]) and any(x[j]) and dot(x[i], x[j]) / (dot(x[i], x[i]) * dot(x[j], x[j])) ** 0.5 >= 0.9]
+    tied = sum(dot(x[i], x[j]) / (dot(x[i], x[i]) * dot(x[j], x[j])) ** 0.5 == 0.9 for i, j in links)
+    assert tied > 200
+    comp = components_of(links, range(len(x)))
+    rows = [(i, [float(c) for c in v], 7, "r") for i, v in enumerate(x)]
+    got = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, links int, rep string")).collect()}
+    for i, row in got.items():
+        assert (row["n_links"], row["component_id"]) == (sum(a == i for a, _ in links), comp[i])
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).collect() == []
+    odd = spark.createDataFrame([(None, [1.0]), (None, [1.0]), (3, [1e300]), (4, [1e-300]), (5, None)], "vec_id long, embedding array<double>")
+    assert sorted((r["vec_id"] or 0, r["n_links"]) for r in embeddings.near_duplicates(odd).collect()) == [(0, 0), (0, 0), (3, 1), (4, 1), (5, 0)]
+
+
 def test_fingerprints_against_brute_force(spark):
     texts = some_texts(30)
     got = {r["doc_id"]: r for r in fingerprint.fingerprints(frame(spark, texts)).collect()}
