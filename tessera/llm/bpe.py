@@ -6,7 +6,12 @@ follows it first; that in turn may be taken by a still earlier merge, and so on.
 these chains over the whole merge list and gives the longest stretch of symbols such a chain can span
 (Berglund and van der Merwe, "Formalizing BPE Tokenization", 2023). So a token that ends at least
 that far before the end of what has been read is final: it is emitted, and the rest is a fresh
-problem. Memory is one window, whatever the length of a word.
+problem. Memory is one window, whatever the length of a word. All words go through stream(), which
+reads on as far as the lookahead and STEP symbols more, and emits; a worker remembers what it gave for frequent words.
+
+A text is read in parts of about PART characters that end at white space. Each part's ids go to a running digest and to
+the decoder, whose text goes to another, so no more than a part is held besides the text itself; a stretch without white
+space is as long as it is.
 
 Defined results: a null text is an empty one, which has no tokens and decodes to ""; repeated rows
 give repeated results; an empty table gives no rows; other columns are ignored.
@@ -68,9 +73,10 @@ def lookahead(merges: list[tuple[str, str]]) -> int:
 class Transducer:
     """Encodes by a BPE file of the tokenizers library with word ends (`</w>`) and white space dropped."""
 
-    #: Short words whose tokens a worker remembers; beyond them the memory starts afresh.
-    REMEMBER = 200_000
-    SHORT = 64
+    #: Words whose tokens a worker remembers, of how many characters at most; beyond them the memory starts afresh.
+    REMEMBER, WORTH = 200_000, 64
+    #: Symbols read beyond the lookahead between two emissions.
+    STEP = 64
 
     def __init__(self, file: bytes, look: int | None = None):
         spec = json.loads(file)
@@ -86,8 +92,9 @@ class Transducer:
         self.token_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.token_of_decimal = {str(i): t for i, t in self.token_of.items()}
         self.words = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+        self.white = regex.compile(f"[{WHITE}]")
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        assert all("<|" in s for s in self.special)
+        assert all("<|" in s and not self.white.search(s) for s in self.special)
         self.known: dict[str, tuple[str, str, int]] = {}  # by stretch of text
         self.seen: dict[str, tuple[str, str, int]] = {}  # by word
 
@@ -108,10 +115,10 @@ class Transducer:
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word's symbols, each emitted once no later symbol can change it."""
         window: list[str] = []
-        step = max(self.look, 256)
+        full = self.look + self.STEP
         for s in symbols:
             window.append(s)
-            if len(window) >= self.look + step:
+            if len(window) >= full:
                 tokens, read = self.merge(list(window)), 0
                 for t in tokens:
                     if read + len(t) > len(window) - self.look:
@@ -128,9 +135,7 @@ class Transducer:
         yield self.symbols[data[-1]] + self.end
 
     def word_tokens(self, word: str) -> list[str]:
-        if len(word) > self.SHORT:
-            return list(self.stream(self._word_symbols(word)))
-        return self.merge(list(self._word_symbols(word)))
+        return list(self.stream(self._word_symbols(word)))
 
     def _normal(self, chunk: str) -> str:
         if chunk.isascii():
@@ -156,7 +161,7 @@ class Transducer:
         if found is None:
             tokens, vocab = self.word_tokens(word), self.vocab
             found = " ".join([str(vocab[t]) for t in tokens]), " ".join(tokens), len(tokens)
-            if len(word) <= self.SHORT:
+            if len(word) <= self.WORTH:
                 if len(self.seen) >= self.REMEMBER:
                     self.seen.clear()
                 self.seen[word] = found
@@ -183,9 +188,20 @@ class Transducer:
             return list(map(known.__getitem__, chunks))
         if len(known) + len(own) > self.REMEMBER:
             known.clear()
-        known.update((c, e) for c, e in own.items() if len(c) <= self.SHORT)
+        known.update((c, e) for c, e in own.items() if len(c) <= self.WORTH)
         return [own.get(c) or known.get(c) or own.setdefault(c, self._entry(c)) for c in chunks]
 
+    def parts(self, text: str, size: int) -> Iterator[str]:
+        """The text in parts of about `size` characters, cut at white space, which begins no token."""
+        at = 0
+        while at < len(text):
+            end = at + size
+            if end < len(text):
+                found = self.white.search(text, end)
+                end = found.start() if found else len(text)
+            yield text[at:end]
+            at = end
+
     def ids(self, text: str) -> list[int]:
         return [int(i) for ids, _, _ in self.pieces(text) for i in ids.split()]
 
@@ -233,13 +249,26 @@ class Decoder:
 ENCODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), ("decoded_chars", pa.int64())])
 
 
-def digests(bpe: Transducer, text: str) -> tuple[int, str, str, int]:
-    """(ids, digest of the ids, digest and length of what the decoder gives for them)."""
-    ids = " ".join([e[0] for e in bpe.pieces(text)])
-    tokens = list(map(bpe.token_of_decimal.__getitem__, ids.split()))
-    decoder = Decoder(bpe.end, bpe.spaced)
-    shown = decoder.feed_all(tokens) + decoder.close()
-    return len(tokens), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(shown.encode()).hexdigest(), len(shown)
+#: Characters of a part.
+PART = 1 << 18
+
+
+def digests(bpe: Transducer, text: str, size: int = PART) -> tuple[int, str, str, int]:
+    """(ids, digest of the ids, digest and length of what the decoder gives for them), part by part."""
+    n, length, of_ids, of_text, decoder = 0, 0, hashlib.sha256(), hashlib.sha256(), Decoder(bpe.end, bpe.spaced)
+    for part in bpe.parts(text, size):
+        ids = " ".join([e[0] for e in bpe.pieces(part)])
+        if not ids:
+            continue
+        of_ids.update((" " + ids if n else ids).encode())
+        tokens = list(map(bpe.token_of_decimal.__getitem__, ids.split(" ")))
+        n += len(tokens)
+        shown = decoder.feed_all(tokens)
+        length += len(shown)
+        of_text.update(shown.encode())
+    shown = decoder.close()
+    of_text.update(shown.encode())
+    return n, of_ids.hexdigest(), of_text.hexdigest(), length + len(shown)
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
