@@ -23,29 +23,52 @@ LAGS = (1, 2, 3, 5, 8)
 SIZE = _CLASSES + 6 + len(LAGS)
 
 
+#: Bytes of a text that are worked on at once, a multiple of PASSAGE; a slice ends before a word.
+SLICE = 1800 * PASSAGE
+
+
+def _cuts(buf: np.ndarray) -> list[int]:
+    """Where slices end: before the first word that begins at a multiple of SLICE or after it."""
+    out = []
+    for at in range(SLICE, len(buf), SLICE):
+        if out and out[-1] >= at:
+            continue
+        inside = not SPACE[buf[at - 1]]  # the word there belongs to the slice before
+        while at < len(buf) and not (not SPACE[buf[at]] and not inside):
+            part = SPACE[buf[at : at + SLICE]]
+            hit = part if inside else ~part
+            step = int(hit.argmax()) if hit.any() else len(part)
+            at += step
+            if step < len(part):
+                inside = False
+        if at < len(buf):
+            out.append(at)
+    return out
+
+
 def features(text: str | None) -> np.ndarray:
-    """One row of SIZE float32 numbers for each passage; an empty text is one row of zeros."""
+    """One row of SIZE float32 numbers for each passage; an empty text is one row of zeros.
+
+    A long text is worked on in slices, with the same numbers as at once; memory beside the text is for a slice, or for
+    the longest word.
+    """
     data = (text or "").encode("utf-8", "surrogatepass")
-    buf = np.frombuffer(data, np.uint8)
-    if len(buf) > 1 << 20:  # piece by piece, so that scratch memory is bounded; a piece ends at white space
-        at, out = 0, []
-        while at < len(buf):
-            end = min(at + (1 << 20), len(buf))
-            while end < len(buf) and not SPACE[buf[end]] and end - at < 1 << 21:
-                end += 1
-            out.append(_features(data[at:end]))
-            at = end
-        return np.concatenate(out)
-    return _features(data)
+    cuts = _cuts(np.frombuffer(data, np.uint8))
+    out, before = [], np.zeros(0, np.uint64)
+    for at, end in zip([0, *cuts], [*cuts, len(data)], strict=True):
+        rows, before = _features(data[at:end], at, before)
+        out.append(rows)
+    return np.concatenate([x for x in out if len(x)] or [np.zeros((1, SIZE), np.float32)])
 
 
-def _features(data: bytes) -> np.ndarray:
+def _features(data: bytes, offset: int, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The passages that begin in a slice at `offset`; `before` holds the hashes of the last words ahead of it."""
     buf = np.frombuffer(data, np.uint8)
     starts, ends = spans(buf)
     n = len(starts)
     if not n:
-        return np.zeros((1, SIZE), np.float32)
-    home = np.minimum(starts // PASSAGE, np.inf).astype(np.int64)
+        return np.zeros((0, SIZE), np.float32), before
+    home = (starts + offset) // PASSAGE
     _, first, home = np.unique(home, return_index=True, return_inverse=True)
     rows = len(first)
     words = np.bincount(home, minlength=rows).astype(float)
@@ -79,9 +102,11 @@ def _features(data: bytes) -> np.ndarray:
     upper = _KIND[buf[starts]] == 1
     caps = upper & (_KIND[buf[np.maximum(ends - 2, starts)]] != 0) & (length > 1)
     out[:, k + 5] = np.bincount(home, caps, rows) / words
+    every = np.concatenate((before, h))
     for j, lag in enumerate(LAGS):
-        if n > lag:
-            same = np.zeros(n)
-            same[lag:] = h[lag:] == h[:-lag]
-            out[:, k + 6 + j] = np.bincount(home, same, rows) / words
-    return out
+        same = np.zeros(len(every))
+        if len(every) > lag:
+            same[lag:] = every[lag:] == every[:-lag]
+        same = same[len(before) :]
+        out[:, k + 6 + j] = np.bincount(home, same, rows) / words
+    return out, every[-max(LAGS) :]

@@ -9,7 +9,8 @@ features of every passage of theirs, not their texts, come to the driver. Scorin
 
 Defined results: a null or empty text is one passage of zeros and gets a score; repeated rows get
 equal scores; labels that disagree for a doc_id count as their mean; without labels every score is
-0.5; an empty table gives no rows; other columns are ignored. Neither labels nor lang, source or
+0.5, with labels of one value all lean to it; ties in the hash of doc_id go to the least doc_id; texts of any length
+are read whole, in slices; an empty table gives no rows; other columns are ignored, whatever they are called. Neither labels nor lang, source or
 doc_id enter a score.
 """
 
@@ -46,7 +47,7 @@ class AttentionMil:
         return h, t, g, a, z, z @ p["w"] + p["c"]
 
     def fit(self, bags: list[np.ndarray], y: np.ndarray, rounds: int = 500, rate: float = 0.01, decay: float = 1e-4) -> AttentionMil:
-        if not bags or len(set(y > 0.5)) < 1:
+        if not bags:
             return self
         x = np.concatenate(bags).astype(float)
         sizes = np.array([len(b) for b in bags])
