@@ -5,12 +5,14 @@ Each language has a few centroids, found by spherical k-means over its training
 language is that of the centroid with the greatest cosine. A text whose distance to it exceeds what
 all but the furthest training texts of that language show, widened by a margin, is rejected.
 
-Training uses at most `per_lang` rows of each language, those with the least hash of doc_id; their
-hashed counts, not their texts, come to the driver.
+Training uses at most `per_lang` rows of each language, those with the least hash of doc_id, and at most `most` in
+all: where the languages are so many, each has the same number of rows, and where a column holds yet more different
+values, those of the most rows are learned. The rows' hashed counts, not their texts, come to the driver.
 
 Defined results: a null text, or one without a letter, is `und`, score 0 and rejected; equal
 cosines go to the first language by name; without training rows everything is `und`; repeated rows
-get equal results; an empty table gives no rows; other columns are ignored. Neither lang, source nor
+get equal results; texts of any length are read whole, in slices; an empty table gives no rows; other columns are
+ignored, whatever they are called. Neither lang, source nor
 doc_id enter a prediction.
 """
 
@@ -103,12 +105,26 @@ class Centroids:
         return self.langs[k], float(score), bool(best[k] < self.floor[self.langs[k]])
 
 
-def learn(docs: DataFrame, usable: Column, per_lang: int = 500) -> Centroids:
-    """Fits on at most `per_lang` rows of each language with `usable`, a condition on doc_id."""
+def training_ids(docs: DataFrame, usable: Column, per_lang: int, most: int) -> DataFrame:
+    """(doc_id, lang) of at most `most` rows, the first `per_lang` of each language at most by the hash of doc_id.
+
+    A language's rows are thinned by their hash before they are ranked, to about four times what is wanted, so
+    that no task ranks all rows of a language that a third of them have.
+    """
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", "lang").distinct()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(most)
+    share = (F.xxhash64("doc_id") / 2.0**64 + 0.5) * F.col("rows")  # the least hash of n rows is about 1 here
+    near = rows.join(F.broadcast(sizes), "lang").where(share <= 4 * per_lang + 100)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    first = near.withColumn("n", place).where(F.col("n") <= per_lang)
+    return first.orderBy("n", F.desc("rows"), "lang").limit(most).select("doc_id", "lang")
+
+
+def learn(docs: DataFrame, usable: Column, per_lang: int = 500, most: int = 20_000) -> Centroids:
+    """Fits on at most `per_lang` rows of each language and `most` in all with `usable`, a condition on doc_id."""
     spark = docs.sparkSession
     small_batches(spark)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & usable).select("doc_id", "lang").withColumn("n", place).where(F.col("n") <= per_lang).select("doc_id", "lang")
+    ids = training_ids(docs, usable, per_lang, most)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -120,8 +136,8 @@ def learn(docs: DataFrame, usable: Column, per_lang: int = 500) -> Centroids:
                     out.append({"lang": lang, "at": at.astype(np.uint16).tobytes(), "n": c[at].astype(np.uint32).tobytes()})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("lang", pa.string()), ("at", pa.binary()), ("n", pa.binary())]))
 
-    # as many ids as languages times per_lang: a bound that documents don't move
-    found = docs.select("doc_id", "lang", "text").join(F.broadcast(ids.distinct()), ["doc_id", "lang"]).select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").collect()
+    # `most` ids at most
+    found = docs.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang").mapInArrow(run, "lang string, at binary, n binary").limit(most).collect()
     rows = []
     for r in sorted(found, key=lambda r: (r["lang"], r["at"], r["n"])):
         c = np.zeros(SIZE, np.int64)
