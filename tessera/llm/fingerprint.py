@@ -5,13 +5,15 @@ cuts of equal passages at equal places. Each unit's 64-bit digest, numbered when
 that keep a count, an xor of digests and an xor of check values. Two versions' sketches subtract cell by
 cell, units in common cancel, and peeling cells that hold a single digest recovers those that differ
 (Goodrich and Mitzenmacher, "Invertible Bloom lookup tables", 2011). When cells are left unpeeled, both
-sketches are made anew with more cells and other hashes.
+sketches are made anew with more cells and other hashes: at first as many as an estimate of the difference asks for,
+from the parities of the digests that fall in each of a few hundred places; then twice as many each time.
 
 Likeness is the Jaccard ratio that the recovered difference implies: 1 for equal texts, 0 for nothing in common.
 
 Defined results: a null text is an empty one, two empty texts have likeness 1; a doc_id of null comes
-last in order; rows of one doc_id are ordered by text; a lone document is its own next; an
-empty table gives no rows; other columns are ignored.
+last in order; rows of one doc_id are ordered by text, and repeated rows follow each other; a lone document is its own
+next; texts of any length are read whole; an empty table gives no rows; other columns are ignored, whatever they are
+called.
 """
 
 from __future__ import annotations
@@ -113,16 +115,32 @@ class Sketch:
         return keys[signs > 0], keys[signs < 0]
 
 
+#: Places whose parities estimate a difference.
+PLACES = 512
+
+
+def parities(keys: np.ndarray) -> np.ndarray:
+    """Whether an odd number of digests falls in each place."""
+    return np.bincount((keys >> _U(55)).astype(np.int64), minlength=PLACES) & 1
+
+
+def estimate(a: np.ndarray, b: np.ndarray) -> int:
+    """About how many digests differ, by parities alone; where these tell nothing, as many as there are."""
+    odd = np.count_nonzero(parities(a) != parities(b))
+    most = len(a) + len(b)
+    return most if odd > 0.45 * PLACES else min(most, int(-PLACES / 2 * np.log(1 - 2 * odd / PLACES)) + 1)
+
+
 def difference(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The digests that differ, by sketches alone. After a failure, sketches that would hold even two
-    texts with nothing in common; after another, twice as many cells, and so on."""
+    """The digests that differ, by sketches alone. After a failure, sketches of cells for the estimated
+    difference; after another, twice as many cells, and so on."""
     cells = CELLS
     while True:
         x, y = first if first and cells == CELLS else (Sketch(a, cells), Sketch(b, cells))
         found = x.minus(y).peel()
         if found is not None:
             return found
-        cells = max(2 * cells, 3 * ((len(a) + len(b)) * 2 // 3 + 4))
+        cells = 2 * cells if cells > CELLS else max(2 * CELLS, 3 * (estimate(a, b) // 2 + 4))
 
 
 def likeness(a: np.ndarray, b: np.ndarray, first: tuple[Sketch, Sketch] | None = None) -> float:
@@ -139,12 +157,13 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha25
 OUT_DDL = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
-def in_order(docs: DataFrame, rows_per_run: int = 2048, most_runs: int = 4096) -> tuple[DataFrame, int]:
+def in_order(docs: DataFrame, rows_per_run: int = 2048, most_runs: int = 1 << 17) -> tuple[DataFrame, int]:
     """Every document once, texts compressed, in runs of descending doc_id, each run ended by the head of the next.
 
     (run, head, key, z): runs are ranges of doc_id, in one partition each and sorted there, so a task
     sees each document's successor without a global window. Only the bounds of runs and the
-    greatest key of each, at most `most_runs` numbers, come to the driver.
+    greatest key of each, 2 * `most_runs` numbers at most, come to the driver; beyond rows_per_run * most_runs
+    documents (268 million) runs are longer, which a task reads as a stream that holds two documents.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessera.llm import bpe, chat, embeddings, fingerprint, html_text, jaccard, language, packing, quality, url_filter
+from tessera.llm import bpe, chat, embeddings, fingerprint, html_text, jaccard, language, packing, passages, quality, url_filter
 from tessera.llm.hashing import shingle_set
 from tessera.llm.queries import remainder
 
@@ -97,6 +97,29 @@ def test_round_trip_decodes_the_ids():
     assert d.feed_all([]) + d.feed("a") + d.feed_all(["b", "c"]) + d.close() == "a b c"
 
 
+def test_transducer_needs_its_lookahead_and_no_more_memory():
+    data, lib = open(WORD, "rb").read(), Tokenizer.from_file(WORD)
+    own, hasty = bpe.Transducer(data), bpe.Transducer(data, look=0)
+    r = random.Random(2)
+    words = ["".join(r.choice(["the", "ing", "a", "e", "tion", "st", "un"]) for _ in range(500)) for _ in range(10)]
+    assert [own.ids(w) for w in words] == [lib.encode(w, add_special_tokens=False).ids for w in words] != [hasty.ids(w) for w in words]
+    given, read = 0, []
+    for t in own.stream(read.append(1) or s for s in own._word_symbols(words[0])):
+        given += len(t)
+        assert len(read) - given <= own.look + own.STEP  # what is held
+
+
+def test_digests_do_not_depend_on_parts():
+    own, lib = bpe.Transducer(open(WORD, "rb").read()), Tokenizer.from_file(WORD)
+    text = " ".join(filter(None, [*ODD, *some_texts(20)])) + " "
+    ids = lib.encode(text, add_special_tokens=False).ids
+    want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    assert all(bpe.digests(own, text, size)[:3] == want for size in (1, 7, 100, 1 << 18))
+    long = "naïve words, again " * 300_000  # 5.7 million characters
+    ids = lib.encode(long[:19], add_special_tokens=False).ids
+    assert bpe.digests(own, long)[:2] == (300_000 * len(ids), hashlib.sha256(" ".join(map(str, ids * 300_000)).encode()).hexdigest())
+
+
 def test_chat_round_trip(spark):
     r = random.Random(0)
     parts = ["<|", "[INST]", "</s>", "\\", "|>", "ok ", "\n", "<|end|>\n", "<|turn|>", "é", "\r"]
@@ -252,6 +275,76 @@ def test_quality_learns_from_every_passage(spark, monkeypatch):
     assert seen == [len(quality.features(t)) for t in texts] and seen[0] > 128
 
 
+def test_passages_do_not_depend_on_slices(monkeypatch):
+    r = random.Random(8)
+    text = "  " + "".join(r.choice(["Ab", "cd ", "X|y. ", "12", "é\n", "same same ", "w" * 900 + " "]) for _ in range(4000))
+    whole = passages.features(text)
+    for size in (1, 2, 7):
+        monkeypatch.setattr(passages, "SLICE", size * passages.PASSAGE)
+        assert np.allclose(passages.features(text), whole, atol=1e-6)
+    monkeypatch.undo()
+    long = "some words, 12 of them. " * 250_000  # 6 MB
+    x = passages.features(long)
+    assert len(x) == 10_000 and np.allclose(x[50:-1, :15].std(0), 0, atol=0.05)
+    assert len(jaccard.shingle_set(long, 5)) == 5 and fingerprint.likeness(*[fingerprint.units(long)] * 2) == 1
+    assert (language.counts(long) == language.counts("some words, 12 of them. ") * 250_000).sum() > language.SIZE - 10
+
+
+def test_attention_against_a_plain_loop():
+    g = np.random.default_rng(3)
+    bags = [g.normal(size=(int(g.integers(1, 9)), passages.SIZE)).astype(np.float32) for _ in range(60)]
+    y = np.array([float(b[:, 3].max() > 1) for b in bags])
+    m = quality.AttentionMil().fit(bags, y, rounds=200)
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for b in bags[:10]:
+        h = [np.tanh(np.clip((x - m.mean) / m.dev, -8, 8) @ m.p["W"] + m.p["b"]) for x in b]
+        e = [np.exp((np.tanh(v @ m.p["V"]) * sig(v @ m.p["G"])) @ m.p["u"]) for v in h]
+        z = sum(w * v for w, v in zip(e, h, strict=True)) / sum(e)
+        assert m.score(b) == pytest.approx(sig(z @ m.p["w"] + m.p["c"][0]), abs=1e-6)
+    assert np.mean([(m.score(b) >= 0.5) == (t > 0.5) for b, t in zip(bags, y, strict=True)]) > 0.9
+    assert quality.AttentionMil().fit(bags, np.ones(60)).score(bags[0]) > 0.5 and quality.AttentionMil().fit([], np.zeros(0)).score(bags[0]) == 0.5
+
+
+def test_centroids_against_a_plain_loop():
+    texts = {"de": ["der die das und", "ein die und nicht", "das ist der"], "en": ["the and of that", "this is the of", "and that this"]}
+    rows = [(k, language.counts(t)) for k, v in texts.items() for t in v]
+    m = language.Centroids(rows, clusters=2)
+    assert len(m.points) == 4 and np.allclose(np.linalg.norm(m.points, axis=1), 1, atol=1e-5)
+    for t in ["das und der", "that and the", "xyz qqq"]:
+        c = language.counts(t)
+        v = np.log1p(c) * m.idf
+        near = [float(p @ v / np.linalg.norm(v)) for p in m.points]
+        best = max(range(4), key=lambda i: near[i])
+        lang, score, rejected = m.predict(t)
+        assert lang == m.langs[m.owner[best]] and rejected == (near[best] < m.floor[lang]) and 0 <= score <= 1
+    assert m.predict("qzx jjj vvv")[2] and not m.predict("der die das und")[2]
+
+
+def test_training_rows_of_languages_are_bounded(spark):
+    rows = [(i, "a text of words", f"l{i % 40}" if i % 3 else "en", 1.0, "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, DOCS)
+    ids = language.training_ids(docs, language.F.lit(True), per_lang=5, most=60).collect()
+    by = {}
+    for r in ids:
+        by.setdefault(r["lang"], []).append(r["doc_id"])
+    assert len(ids) == 60 and len(by) == 41 and all(len(v) <= 5 for v in by.values())
+    assert sorted(by["en"]) == sorted(r["doc_id"] for r in docs.where("lang = 'en'").orderBy(language.F.xxhash64("doc_id")).limit(len(by["en"])).collect())
+
+
+def test_sketches_grow_until_they_peel(monkeypatch):
+    g = np.random.default_rng(1)
+    sizes = []
+    made = fingerprint.Sketch.__init__
+    monkeypatch.setattr(fingerprint.Sketch, "__init__", lambda self, keys, cells=fingerprint.CELLS: (sizes.append(cells), made(self, keys, cells))[1])
+    for common, only in ((500, 3), (500, 40), (5000, 200), (0, 900), (3, 0)):
+        keys = g.integers(1, 1 << 63, common + 2 * only, dtype=np.uint64)
+        a, b = keys[: common + only], np.concatenate((keys[:common], keys[common + only :]))
+        sizes.clear()
+        x, y = fingerprint.difference(a, b)
+        assert set(x.tolist()) == set(a.tolist()) - set(b.tolist()) and set(y.tolist()) == set(b.tolist()) - set(a.tolist())
+        assert max(sizes) <= max(fingerprint.CELLS, 16 * only)  # cells follow the difference, not the texts
+
+
 def test_quality_and_language_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.learn(docs, labels, remainder(3) != 1)
