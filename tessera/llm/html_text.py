@@ -2,14 +2,18 @@
 
 A page is a sequence of tokens: words, which score positive, and tags, which score negative (Pasternack
 and Roth, "Extracting article text from the web with maximum subsequence segmentation", 2009). The
-weight of a tag, and of a word by the class of the block it stands in, comes from labelled pages:
-those that mark their own content with an article or main element. One linear scan finds the
-contiguous region with the greatest sum. Inside it, elements that are never part of an article
-(menus, adverts, forms, scripts, reader comments and the like) weigh nothing and are left out.
+weight of a tag, and of a word by the element and class of the block it stands in, comes from labelled pages:
+those that mark their own content with an article or main element. Words of blocks that stand outside the content
+there weigh negative, whatever their class is called. One linear scan finds the contiguous region with the greatest
+sum. Of that region the blocks are left out that are never part of an article: by their element or class (menus,
+adverts, forms, scripts, reader comments and the like), or because labelled pages have a block of that class outside
+their content. A stretch of such words outside a marked element weighs negative too, PENALTY at most, so that one in
+the middle of an article does not split it.
 
 Defined results: a null or empty html, or one without content, gives ""; unclosed, stray and
-truncated tags are tolerated; of equal regions the first wins; repeated rows give repeated results;
-an empty table gives no rows; other columns are ignored.
+truncated tags are tolerated; of equal regions the first wins; repeated rows give repeated results; pages of any
+length are read whole; without labelled pages the default weights hold; an empty table gives no rows; other columns
+are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -41,7 +45,9 @@ MAIN = {"article", "main"}
 _CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
 _HOLDS = {"article", "aside", "body", "div", "footer", "form", "header", "html", "main", "nav", "section", "table", "td", "th", "ul", "ol", "dl"}
 CONTENT = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "blockquote", "pre", "table", "tr", "td", "th", "figcaption"}
-WORD_DEFAULT, TAG_DEFAULT, TAG_LEAST = 1.0, -2.0, -0.25
+WORD_DEFAULT, TAG_DEFAULT, TAG_LEAST, APART_DEFAULT, PENALTY = 1.0, -2.0, -0.25, -1.0, 6.0
+#: A class of blocks is left out from this weight down, where labelled pages hold so many of its words at least.
+LEFT_OUT, EVIDENCE = -1.0, 20
 
 
 def tokens(page: str) -> Iterator[tuple]:
@@ -83,7 +89,7 @@ def tokens(page: str) -> Iterator[tuple]:
             if name not in VOID:
                 marks = " ".join(a or b or c for a, b, c in _MARK.findall(m.group(3))) if m.group(3) else ""
                 own = name in APART or (name == "header" and not inside) or bool(marks and APART_MARKS.search(marks))
-                key = context if name in INLINE else f"{name}.{marks}" if marks else name
+                key = context if apart or (name in INLINE and not own) else f"{name}.{marks}" if marks else name
                 stack.append((name, apart or own, key))
                 inside += name in MAIN
             yield "tag", name, True, name not in INLINE, apart or own
@@ -112,7 +118,7 @@ def observed(page: str) -> Counter:
             elif not rest[0]:
                 out[f"<{a}", inside > 0] += 1
         else:
-            out[b, rest[0]] += len(a.split())
+            out[b, rest[0] and not c] += len(a.split())
     return out
 
 
@@ -121,7 +127,7 @@ class Weights:
 
     def __init__(self, counts: dict[tuple[str, bool], int]):
         totals = {v: sum(n for (_, y), n in counts.items() if y == v) for v in (True, False)}
-        self.words, self.tags = {}, {}
+        self.words, self.tags, self.left_out = {}, {}, set()
         for f in sorted({f for f, _ in counts}):
             yes, no = ((counts.get((f, v), 0) + 1) / (totals[v] + 2) for v in (True, False))
             odds = math.log(yes / no)
@@ -129,42 +135,65 @@ class Weights:
                 self.tags[f[1:]] = max(-6.0, min(TAG_LEAST, odds))
             else:
                 self.words[f] = max(-2.0, min(WORD_DEFAULT, odds))
+                if "." in f and odds <= LEFT_OUT and counts.get((f, False), 0) >= EVIDENCE:
+                    self.left_out.add(f)
 
 
-def extract(page: str | None, weights: Weights) -> str:
-    blocks: list[list[str]] = [[]]
-    best, best_from, best_to, here, start = 0.0, 0, -1, 0.0, 0
-    spans: list[tuple[int, str]] = []
-    for kind, a, b, c, last in tokens(page or ""):
-        if kind == "tag":
-            score = 0.0 if last else weights.tags.get(a, TAG_DEFAULT if c and a not in CONTENT else TAG_LEAST)
-            if c or a == "br":
-                spans.append((-1 if c else 0, "\n" if c else " "))
-            else:
-                spans.append((0, ""))
-        else:
-            words = len(a.split())
-            score = 0.0 if c else words * weights.words.get(b, WORD_DEFAULT)
-            spans.append((0, "" if c else a))
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """(first, end) of the contiguous region with the greatest sum, the first of equal ones; empty if none is above 0."""
+    best, found, here, start = 0.0, (0, 0), 0.0, 0
+    for i, x in enumerate(scores):
         if here <= 0:
-            here, start = 0.0, len(spans) - 1
-        here += score
+            here, start = 0.0, i
+        here += x
         if here > best:
-            best, best_from, best_to = here, start, len(spans) - 1
-    for mark, text in spans[best_from : best_to + 1]:
-        if mark < 0:
+            best, found = here, (start, i + 1)
+    return found
+
+
+def scored(page: str, weights: Weights) -> tuple[list[float], list[str | None]]:
+    """The scores of a page's tokens, and their text: None where a block ends, "" where they are left out."""
+    scores, texts, spent = [], [], 0.0
+    for kind, a, b, c, last in tokens(page):
+        if kind == "tag":
+            scores.append(0.0 if last else weights.tags.get(a, TAG_DEFAULT if c and a not in CONTENT else TAG_LEAST))
+            texts.append(None if c else " " if a == "br" else "")
+        else:
+            apart, n = c, len(a.split())
+            if not c and not last and b in weights.left_out:
+                apart = True
+            if apart:
+                score = 0.0 if last else -min(PENALTY - spent, -n * min(0.0, weights.words.get(b, APART_DEFAULT)))
+                spent -= score
+            else:
+                score = n * weights.words.get(b, WORD_DEFAULT)
+                spent = 0.0 if n else spent
+            scores.append(score)
+            texts.append("" if apart else a)
+    return scores, texts
+
+
+def extract(page: str | None, weights: Weights) -> str:
+    scores, texts = scored(page or "", weights)
+    first, end = best_region(scores)
+    blocks: list[list[str]] = [[]]
+    for text in texts[first:end]:
+        if text is None:
             blocks.append([])
         else:
             blocks[-1].append(text)
-    texts = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
-    return "\n\n".join(t for t in texts if t)
+    found = (" ".join(html.unescape("".join(b)).split()) for b in blocks)
+    return "\n\n".join(t for t in found if t)
 
 
 TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
 
-def learn(pages: DataFrame, sample: int = 400, features: int = 2000) -> Weights:
-    """Weights from at most `sample` labelled pages, chosen by a hash of page_id, of the given pages."""
+def learn(pages: DataFrame, sample: int = 400) -> Weights:
+    """Weights from at most `sample` labelled pages, chosen by a hash of page_id, of the given pages.
+
+    The counts of their features come to the driver, as many as they have distinct tags and classes.
+    """
     spark = pages.sparkSession
     small_batches(spark, 128)
     ids = pages.where("html rlike '(?i)<(article|main)[\\\\s>]'").select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample).distinct()
@@ -176,9 +205,8 @@ def learn(pages: DataFrame, sample: int = 400, features: int = 2000) -> Weights:
                 counts.update(observed(h or ""))
         yield pa.RecordBatch.from_pylist([{"f": f, "y": y, "n": n} for (f, y), n in counts.items()], schema=pa.schema([("f", pa.string()), ("y", pa.bool_()), ("n", pa.int64())]))
 
-    rows = pages.join(F.broadcast(ids), "page_id", "left_semi").select("html").mapInArrow(run, "f string, y boolean, n long")
-    top = rows.groupBy("f", "y").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "f", "y").limit(features).collect()
-    return Weights({(r["f"], r["y"]): r["n"] for r in top})
+    rows = pages.select("page_id", "html").join(F.broadcast(ids), "page_id", "left_semi").select("html").limit(sample).mapInArrow(run, "f string, y boolean, n long")
+    return Weights({(r["f"], r["y"]): r["n"] for r in rows.groupBy("f", "y").agg(F.sum("n").alias("n")).collect()})
 
 
 def main_text(pages: DataFrame, weights: Weights) -> DataFrame:

@@ -266,6 +266,39 @@ def test_html(spark):
     assert [r["n_chars"] for r in html_text.main_text(df, html_text.learn(df)).collect()] == [0, 0]
 
 
+def test_best_region_against_every_region():
+    r = random.Random(6)
+    for _ in range(300):
+        x = [r.choice([-6, -2, -1, 0, 1, 2, 5]) for _ in range(r.randint(0, 14))]
+        first, end = html_text.best_region(x)
+        assert sum(x[first:end]) == max([sum(x[i:j]) for i in range(len(x)) for j in range(i + 1, len(x) + 1)] + [0])
+
+
+def test_html_by_learned_weights():
+    """Pages whose class names say nothing: what c1, c2 and c3 hold comes from labelled pages alone."""
+    r = random.Random(4)
+    words = lambda n: " ".join(r.choice(["one", "two", "three", "four"]) for _ in range(n))
+    links = lambda n: "".join(f"<a href=x>{words(2)}</a> " for _ in range(n))
+
+    def page(main, text, middle=""):
+        return f"<body><div class=c1>{links(20)}</div><div class=c2>{words(30)}</div><{main}><div class=c3><h2>{text[0]}</h2><p>{text[1]}</p></div>{middle}<div class=c3><p>{text[2]}</p></div></{main}><div class=c4>{words(25)}</div><div>{words(5)}</div></body>"
+
+    counts = html_text.Counter()
+    for _ in range(20):
+        counts.update(html_text.observed(page("main", [words(6), words(40), words(50)])))
+    learned, default = html_text.Weights(counts), html_text.Weights({})
+    assert learned.left_out == {"div.c1", "div.c2", "div.c4"}
+    text = [words(6), words(40), words(50)]
+    plain = page("div", text, f"<div class=c2>{words(30)}</div>")
+    assert html_text.extract(plain, learned) == "\n\n".join(text)
+    assert html_text.extract(plain, default) != html_text.extract(plain, learned)
+    scores, texts = html_text.scored(plain, learned)
+    first, end = html_text.best_region(scores)
+    assert 0 < first < end < len(scores) and any(t and t.strip() for t in texts[end:])  # the scan itself leaves the close out
+    big = "<article>" + "<p>some words here</p>" * 200_000 + "</article>"  # 4.4 MB
+    assert html_text.extract(big, learned).count("some words here") == 200_000
+
+
 def test_quality_learns_from_every_passage(spark, monkeypatch):
     texts = ["word " * 40_000, "short text"]
     seen = []
