@@ -12,7 +12,8 @@ Rows are dealt by conversation and sorted by turn, and a task reads them as a st
 turns of one window, not of a conversation.
 
 Defined results: null texts and roles are empty; rows with the same turn are ordered by role, then
-text; a null conv_id is one conversation; an empty table gives no rows; other columns are ignored.
+text, repeated rows follow each other; a null conv_id is one conversation; a very long text is a window of its own; an
+empty table gives no rows; other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import small_batches
+from tessera.llm.packing import ByteBpe
 
 TURN, END = "<|turn|>", "<|end|>\n"
 #: Strings that tokenizers and templates in use treat as control; fixed values.
@@ -134,9 +136,16 @@ WINDOWS = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("text", p
 DDL = "conv_id long, window long, text string, turns long, repeated long, tokens long, loss array<struct<start: long, length: long>>"
 
 
-def format_windows(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """Rows of WINDOWS, in order of conversation and window within each partition."""
+def format_windows(turns: DataFrame, budget: Budget = Budget(), tokenizer_path: str | None = None) -> DataFrame:
+    """Rows of WINDOWS, in order of conversation and window within each partition.
+
+    Tokens are those of a byte-level BPE file of the tokenizers library, or without one estimated by count_tokens().
+    """
     small_batches(turns.sparkSession)
+    file = None
+    if tokenizer_path:
+        with open(tokenizer_path, "rb") as f:
+            file = turns.sparkSession.sparkContext.broadcast(f.read())
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -145,11 +154,15 @@ def format_windows(turns: DataFrame, budget: Budget = Budget()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from itertools import groupby
 
+        count = count_tokens
+        if file is not None:
+            encode = ByteBpe(file.value)
+            count = lambda text: len(encode(text)) // 4
         stream = (x for b in batches for x in zip(*(b.column(i).to_pylist() for i in (0, 2, 3)), strict=True))
         out: list[dict] = []
         size = 0
         for conv, group in groupby(stream, key=lambda x: x[0]):
-            for k, w in enumerate(windows(((role, text) for _, role, text in group), budget)):
+            for k, w in enumerate(windows(((role, text) for _, role, text in group), budget, count)):
                 out.append({"conv_id": conv, "window": k} | w)
                 size += len(w["text"])
                 if len(out) >= 256 or size > 1 << 22:

@@ -8,7 +8,8 @@ waiting piece is cut so that its head fills what is left. Packing is local to a
 shuffle, memory holds one pool, and a task that runs again makes the same rows.
 
 Defined results: a null text is an empty one; an empty text is one piece that holds the closing
-id alone; repeated rows are packed once each; an empty table gives no rows; columns other than
+id alone; of pieces that fit equally well the one that waits in the first place is taken; repeated rows are packed once
+each; a text of any length is encoded whole and cut into sequences; an empty table gives no rows; columns other than
 those named are ignored, whatever they are called.
 """
 

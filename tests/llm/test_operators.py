@@ -64,6 +64,37 @@ def test_packing_places_every_id_once(spark):
     assert packing.pack(frame(spark, texts).where("false"), BYTE).count() == 0
 
 
+def test_packing_holds_all_three_limits(spark):
+    r = random.Random(2)
+    rows = [(i, " ".join("word%d" % r.randint(0, 99) for _ in range(r.randint(0, 60))), r.choice([None, 0, 3, 20, 500])) for i in range(150)]
+    limits = packing.Limits(tokens=64, segments=5, loss=24)
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, prompt int"), BYTE, limits, loss_from_col="prompt").collect()
+    starts = {i: p or 0 for i, _, p in rows}
+    by_seq, ids = {}, {}
+    for x in out:
+        by_seq.setdefault(x["sequence_id"], []).append(x)
+        ids[x["doc_id"]] = ids.get(x["doc_id"], 0) + x["length"]
+    assert ids == {x["doc_id"]: x["doc_tokens"] for x in out} and len(ids) == len(rows)
+    loss = lambda x: max(0, x["start"] + x["length"] - max(x["start"], starts[x["doc_id"]]))
+    full = [(sum(x["length"] for x in s), len(s), sum(map(loss, s))) for s in by_seq.values()]
+    assert all(t <= 64 and n <= 5 and v <= 24 for t, n, v in full)
+    assert any(v == 24 and t < 64 for t, _, v in full) and any(t == 64 for t, _, v in full)  # each limit is met somewhere
+    least = max(sum(t for t, _, _ in full) / 64, sum(v for _, _, v in full) / 24, sum(n for _, n, _ in full) / 5)
+    assert len(full) <= 1.25 * least + 8
+
+
+def test_chat_counts_by_a_tokenizer(spark):
+    lib = Tokenizer.from_file(BYTE)
+    turns = [(1, i, ("user", "assistant")[i % 2], "word " * (i * 7)) for i in range(30)]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    budget = chat.Budget(300, 60)
+    got = chat.format_windows(df, budget, BYTE).orderBy("window").collect()
+    count = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+    want = list(chat.windows(((role, text) for _, _, role, text in turns), budget, count))
+    assert [(w["text"], w["tokens"]) for w in got] == [(w["text"], w["tokens"]) for w in want] and len(got) > 5
+    assert all(w["tokens"] <= 300 or w["turns"] == 1 for w in got)
+
+
 def test_transducer_equals_library():
     own, lib = bpe.Transducer(open(WORD, "rb").read()), Tokenizer.from_file(WORD)
     r = random.Random(1)
