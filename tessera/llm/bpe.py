@@ -24,6 +24,7 @@ import json
 import unicodedata
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 import regex
@@ -115,24 +116,23 @@ class Transducer:
     def stream(self, symbols: Iterable[str]) -> Iterator[str]:
         """Tokens of one word's symbols, each emitted once no later symbol can change it."""
         window: list[str] = []
-        full = self.look + self.STEP
-        for s in symbols:
-            window.append(s)
-            if len(window) >= full:
-                tokens, read = self.merge(list(window)), 0
-                for t in tokens:
-                    if read + len(t) > len(window) - self.look:
-                        break
-                    read += len(t)
-                    yield t
-                del window[:read]
+        full, rest = self.look + self.STEP, iter(symbols)
+        while True:
+            window.extend(islice(rest, full - len(window)))
+            if len(window) < full:
+                break
+            tokens, read = self.merge(list(window)), 0
+            for t in tokens:
+                if read + len(t) > full - self.look:
+                    break
+                read += len(t)
+                yield t
+            del window[:read]
         yield from self.merge(window)
 
     def _word_symbols(self, word: str) -> Iterator[str]:
-        data = word.encode("utf-8", "surrogatepass")
-        for b in memoryview(data)[:-1]:
-            yield self.symbols[b]
-        yield self.symbols[data[-1]] + self.end
+        data, symbols = word.encode("utf-8", "surrogatepass"), self.symbols
+        return chain(map(symbols.__getitem__, data[:-1]), (symbols[data[-1]] + self.end,))
 
     def word_tokens(self, word: str) -> list[str]:
         return list(self.stream(self._word_symbols(word)))
