@@ -497,9 +497,12 @@ def decide_queries(spark, d):
     return decide.decide_queries(scored(spark, d), F.when(F.col("t") % 2 == 0, 0.4).otherwise(0.7), 3)
 
 
-@query(f"""WITH x AS (SELECT *, sum(p) OVER (PARTITION BY q ORDER BY r ROWS UNBOUNDED PRECEDING) AS tp, sum(p) OVER (PARTITION BY q) AS total, product(1 - p) OVER (PARTITION BY q) AS none FROM {RNK}),
-e AS (SELECT *, round(1.25 * tp / (r + 0.25 * total), 8) AS ef FROM x), b AS (SELECT q, max(ef) AS ef FROM e WHERE r <= 10 GROUP BY q), m AS (SELECT e.q, e.ef, min(r) AS m FROM e JOIN b ON b.q = e.q AND b.ef = e.ef WHERE r <= 10 GROUP BY e.q, e.ef)
-SELECT e.q, t, p FROM e JOIN m ON m.q = e.q WHERE r <= m AND m.ef > round(none, 8)""")
+@query(f"""WITH s AS (SELECT q, list(p ORDER BY p DESC, t) AS ps, list(t ORDER BY p DESC, t) AS ts FROM {SCO} GROUP BY q),
+n AS (SELECT *, list_product(list_transform(ps, lambda v: 1 - v)) AS none, list_sum(ps) AS total FROM s),
+m AS (SELECT *, unnest(range(1, least(12, len(ps)) + 1)) AS m FROM n),
+v AS (SELECT *, round((1 - none) * 1.25 * list_sum(ps[1:m]) / (m + 0.25 * list_sum(ps[1:m]) + 0.25 * greatest(total - list_sum(ps[1:m]), 0)), 8) AS worth FROM m),
+b AS (SELECT q, arg_min(m, (-worth, m)) AS m, max(worth) AS worth, any_value(none) AS none, any_value(ps) AS ps, any_value(ts) AS ts FROM v GROUP BY q)
+SELECT q, unnest(ts[1:m]) AS t, unnest(ps[1:m]) AS p FROM b WHERE worth > round(none, 8)""")
 def select_expected_f(spark, d):
     return decide.select_expected_f(scored(spark, d))
 

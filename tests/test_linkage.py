@@ -60,16 +60,72 @@ def test_ratio_against_dynamic_programming():
         assert similarity._lcs(a, b) == m[-1][-1]
 
 
-def test_expected_f_against_enumeration(spark):
-    rows = [(1, i, p) for i, p in enumerate([0.9, 0.6, 0.2])] + [(2, 0, 0.1)]
+def test_expected_f_against_every_prefix(spark):
+    """The value of a prefix by its meaning: a query with a link (1 - P(none)) times F0.5 of expected counts, else P(none) for nothing."""
+    rows = [(1, i, p) for i, p in enumerate([0.9, 0.6, 0.2])] + [(2, 0, 0.1), (3, 0, 0.55), (4, 0, 0.5), (4, 1, 0.45)] + [(5, i, 0.95) for i in range(15)]
     got = {(r["q"], r["t"]) for r in decide.select_expected_f(spark.createDataFrame(rows, "q long, t long, p double")).collect()}
-    want = set()
-    for q in (1, 2):
+    want, plain_rule = set(), set()
+    for q in range(1, 6):
         ps = sorted((p for a, _, p in rows if a == q), reverse=True)
-        best = max(range(1, len(ps) + 1), key=lambda m: (round(1.25 * sum(ps[:m]) / (m + 0.25 * sum(ps)), 8), -m))
-        if 1.25 * sum(ps[:best]) / (best + 0.25 * sum(ps)) > math.prod(1 - p for p in ps):
-            want |= {(q, i) for i in range(best)}
-    assert got == want
+        none = math.prod(1 - p for p in ps)
+        worth = {}
+        for m in range(1, min(12, len(ps)) + 1):
+            hits, wrong, missed = sum(ps[:m]), sum(1 - p for p in ps[:m]), sum(ps[m:])
+            worth[m] = 1.25 * hits / (1.25 * hits + wrong + 0.25 * missed)
+        best = max(worth, key=lambda m: (round(worth[m], 8), -m))
+        want |= {(q, i) for i in range(best)} if (1 - none) * worth[best] > none else set()
+        plain_rule |= {(q, i) for i in range(best)} if worth[best] > none else set()
+    assert got == want != plain_rule
+
+
+def test_scorer_refuses(spark):
+    q = spark.createDataFrame([(1,), (2,), (3,)], "q long")
+    truth = {1: [1, 2], 3: [5]}
+    t = spark.createDataFrame([(a, b) for a, v in truth.items() for b in v], "q long, t long")
+    good = {1: [1, 9], 2: [4]}
+    frame = lambda d: spark.createDataFrame([(a, b) for a, v in d.items() for b in v], "q long, t long")
+    per = decide.scored_queries(q, t, frame(good)).collect()
+    assert sum(r["f"] for r in per) / 3 == pytest.approx(decide.reference_f05(truth, good, [1, 2, 3]))
+    for bad in ({1: [1, 1]}, {7: [1]}):
+        with pytest.raises(Exception, match="twice|unknown"):
+            decide.scored_queries(q, t, frame(bad)).collect()
+        with pytest.raises(ValueError):
+            decide.reference_f05(truth, bad, [1, 2, 3])
+    s = spark.createDataFrame([(1, 1, 0.9), (1, 2, 0.8), (2, 4, 0.3)], "q long, t long, p double")
+    assert {r["q"]: r["matched"] for r in decide.decisions(q, decide.decide_queries(s, 0.5, 5, max_card=1)).collect()} == {1: [1], 2: [], 3: []}
+    assert decide.decide_queries(s, 0.1, 5, margin=0.2).count() == 1
+    with pytest.raises(Exception, match="unknown query"):
+        decide.decisions(q.where("q > 1"), s).collect()
+
+
+def test_one_owner_among_selected(spark):
+    rows = [(1, 7, 0.8, True), (2, 7, 0.9, False), (3, 7, 0.6, True), (4, 8, 0.5, True), (5, 8, 0.5, True)]
+    s = spark.createDataFrame(rows, "q long, t long, p double, selected boolean")
+    kept = lambda **k: {r["q"] for r in decide.one_owner(s, **k).collect()}
+    assert kept() == {4, 5} and kept(among="selected") == {1, 4, 5} and kept(margin=0.15) == {1, 4, 5}
+
+
+def test_policy_search_against_every_policy(spark):
+    r = random.Random(3)
+    rows = [(q, t, round(r.random(), 3), "ab"[t % 2]) for q in range(40) for t in range(5)]
+    truth = {q: [t for _, t, p, s in rows[q * 5 : q * 5 + 5] if r.random() < (p if s == "a" else p * p)] for q in range(40)}
+    pairs = spark.createDataFrame(rows, "q long, t long, p double, slice string")
+    t = spark.createDataFrame([(q, x) for q, v in truth.items() for x in v], "q long, t long")
+    qs = spark.createDataFrame([(q,) for q in range(40)], "q long")
+    taus, tops, margins = [0.2, 0.4, 0.6, 0.8], [1, 3], (0.0, 0.1)
+
+    def value(p):
+        got = {}
+        for q in range(40):
+            own = sorted(rows[q * 5 : q * 5 + 5], key=lambda x: (-x[2], x[1]))
+            if own[0][2] - own[1][2] >= p["margin"]:
+                got[q] = [x[1] for x in own[: p["top_k"]] if x[2] >= p.get(x[3], p["tau"])]
+        return decide.reference_f05(truth, got, list(range(40)))
+
+    best, top = decide.search_policy(pairs, qs, t, taus, tops, margins, slices=("a", "b"))
+    assert top == pytest.approx(value(best), abs=1e-9)
+    plain = max(value({"tau": a, "top_k": k, "margin": m}) for a in taus for k in tops for m in margins)
+    assert top >= plain - 1e-9 and all(value(best) >= value(best | {"b": a}) - 1e-9 for a in taus)
 
 
 def test_strict_tsv(spark, tmp_path):
