@@ -14,6 +14,22 @@ def stable_bucket(salt: str, key: Column, buckets: int = 100) -> Column:
     return F.pmod(F.conv(F.substring(digest(salt, key), 1, 8), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
+def digest_rank(df: DataFrame, key: str, salt: str, by: list[str]) -> DataFrame:
+    """With r, the row's place by its key's digest among the rows equal in `by`, and n, how many these are.
+
+    Rows are ranked within the 4096 ranges of the digest's first three digits, and each range's offset is added, so no
+    task sorts a whole group.
+    """
+    at = digest(salt, F.col(key))
+    x = df.withColumn("__digest", at).withColumn("__range", F.substring(at, 1, 3))
+    sizes = x.groupBy(*by, "__range").agg(F.count("*").alias("__c"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("__c").over(group.orderBy("__range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c")
+    offsets = sizes.select(*by, "__range", before.alias("__o"), F.sum("__c").over(group).alias("n"))  # 4096 rows for each group at most
+    r = F.row_number().over(Window.partitionBy(*by, "__range").orderBy("__digest", key))
+    return x.withColumn("__r", r).join(offsets, [*by, "__range"]).withColumn("r", F.col("__r") + F.col("__o")).drop("__digest", "__range", "__r", "__o")
+
+
 def count_bucket(n: Column) -> Column:
     return F.when(n == 0, "0").when(n == 1, "1").when(n == 2, "2").when(n <= 4, "3-4").otherwise("5+")
 
@@ -27,10 +43,8 @@ def fold_manifest(entities: DataFrame, targets: DataFrame, truth: DataFrame, sal
     counted = counted.withColumn("stratum", F.concat_ws("|", "country", count_bucket(F.col("match_count"))))
 
     def fold(df: DataFrame, by: str) -> DataFrame:
-        w = Window.partitionBy(by)
-        r = F.row_number().over(w.orderBy(digest(salt, F.col("entity_id")), "entity_id"))
-        n = F.count("*").over(w)
-        return df.withColumn("fold", F.when(r <= F.floor(n * 8 / 10), "dev").when(r <= F.floor(n * 9 / 10), "val").otherwise("holdout"))
+        x = digest_rank(df, "entity_id", salt, [by])
+        return x.withColumn("fold", F.when(F.col("r") <= F.floor(F.col("n") * 8 / 10), "dev").when(F.col("r") <= F.floor(F.col("n") * 9 / 10), "val").otherwise("holdout")).drop("r", "n")
 
     q = fold(counted, "stratum").select("entity_id", F.lit("query").alias("role"), "country", "fold", "stratum", "match_count")
     owned = truth.join(q.select(F.col("entity_id").alias("q"), "country", "fold"), "q").select(F.col("t").alias("entity_id"), F.lit("target").alias("role"), "country", "fold", F.lit("owned").alias("stratum"), F.lit(1).cast("long").alias("match_count"))
@@ -39,6 +53,23 @@ def fold_manifest(entities: DataFrame, targets: DataFrame, truth: DataFrame, sal
     return q.unionByName(owned).unionByName(free)
 
 
+def with_owners(manifest: DataFrame, truth: DataFrame, sample: int = 20, salt: str = "sample") -> DataFrame:
+    """The manifest with source, owner_id, assignment, and sample: held-out queries among the first of their stratum."""
+    owners = truth.select(F.col("t").alias("entity_id"), F.lit("target").alias("role"), F.col("q").alias("owner_id"))
+    x = digest_rank(manifest.join(owners, ["entity_id", "role"], "left"), "entity_id", salt, ["role", "stratum"]).drop("n")
+    kind = F.when(F.col("role") == "query", "query").when(F.col("owner_id").isNotNull(), "owner").otherwise("unmatched")
+    chosen = (F.col("role") == "query") & (F.col("r") <= sample) & (F.col("fold") != "dev")
+    return x.withColumn("source", F.substring("entity_id", 2, 1).cast("int")).withColumn("assignment", kind).withColumn("sample", chosen).drop("r")
+
+
+def mini_world(manifest: DataFrame, salt: str = "mini", of_100: int = 10) -> DataFrame:
+    """A closed subsample of a manifest with owners: some queries by hash, all targets they own, and as many of the unmatched."""
+    x = manifest.withColumn("b", stable_bucket(salt, F.col("entity_id")))
+    queries = x.where((F.col("role") == "query") & (F.col("b") < of_100))
+    owned = x.where("assignment = 'owner'").join(queries.select(F.col("entity_id").alias("owner_id")), "owner_id", "left_semi").select(x.columns)
+    return queries.unionByName(owned).unionByName(x.where((F.col("assignment") == "unmatched") & (F.col("b") < of_100))).drop("b")
+
+
 def stratified_sample(entities: DataFrame, stratum: str, size: int, salt: str = "sample") -> DataFrame:
     """Proportional, by largest remainder; within a stratum the least digests."""
     per = entities.groupBy(stratum).agg(F.count("*").alias("n"))

@@ -23,14 +23,19 @@ def equality_channel(name: str, queries: DataFrame, targets: DataFrame, key: Col
     """Targets with the query's non-empty key. Blocks over `cap` are ranked by the secondary similarity.
 
     queries have q, targets t, and both the columns that key reads; secondary reads q_* and t_* columns.
-    The secondary is evaluated for oversize blocks only: they are split off before it.
+    The secondary is evaluated for oversize blocks only: they are split off before it. Without one a key has the same
+    targets for all its queries, so the first `cap` are taken before the join, which bounds it.
     """
     ours = queries.select(F.col("q"), key.alias("k"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "q"]).where("k <> ''")
     theirs = targets.select(F.col("t"), key.alias("k"), *[F.col(c).alias(f"t_{c}") for c in targets.columns if c != "t"]).where("k <> ''")
     sizes = theirs.join(ours.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").cast("int").alias("blk"))
+    if secondary is None:
+        place = F.row_number().over(Window.partitionBy("k").orderBy("t"))
+        first = theirs.select("t", "k").withColumn("rnk", place).where(F.col("rnk") <= cap)
+        return ours.select("q", "k").join(sizes, "k").join(first, "k").select(F.lit(name).alias("channel"), "q", "t", "rnk", F.lit(1.0).alias("score"), "blk").select(*CANDIDATE)
     met = ours.join(sizes, "k").join(theirs, "k").withColumn("channel", F.lit(name))
     small = met.where(F.col("blk") <= cap).select("channel", "q", "t", F.lit(1.0).alias("score"), "blk")
-    large = met.where(F.col("blk") > cap).select("channel", "q", "t", (F.lit(1.0) if secondary is None else secondary).cast("double").alias("score"), "blk")
+    large = met.where(F.col("blk") > cap).select("channel", "q", "t", secondary.cast("double").alias("score"), "blk")
     return _top(small.unionAll(large), cap)
 
 

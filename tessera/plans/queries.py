@@ -262,11 +262,8 @@ def leakage_checks(spark, d):
 
 @query("WITH g AS (SELECT p_name AS grp, count(*) AS group_size FROM part GROUP BY p_name), r AS (SELECT *, row_number() OVER (ORDER BY sha256('stress' || grp), grp) AS r, count(*) OVER () AS n FROM g) SELECT p_partkey, grp, group_size, CASE WHEN r <= n * 8 // 10 THEN 'dev' ELSE 'test' END AS fold FROM part JOIN r ON grp = p_name")
 def stress_manifest(spark, d):
-    from pyspark.sql import Window
-
     p = read_parquet(spark, d, "part").select("p_partkey", F.col("p_name").alias("grp"))
-    g = p.groupBy("grp").agg(F.count("*").alias("group_size"))
-    r = g.withColumn("r", F.row_number().over(Window.orderBy(folds.digest("stress", F.col("grp")), "grp"))).crossJoin(F.broadcast(g.agg(F.count("*").alias("n"))))
+    r = folds.digest_rank(p.groupBy("grp").agg(F.count("*").alias("group_size")), "grp", "stress", [])
     return p.join(r, "grp").select("p_partkey", "grp", "group_size", F.when(F.col("r") <= F.floor(F.col("n") * 8 / 10), "dev").otherwise("test").alias("fold"))
 
 

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import records, similarity, text
 from tessera.operators import decide, retrieval
-from tessera.plans import queries
+from tessera.plans import analysis, queries  # noqa: F401
 from tessera.sources.tables import read_tsv
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["v1_key", "clean_text_repairs", "skeleton", "fold_manifest", "stratified_sample", "eq_channel_oversize", "postings_tokens", "select_threshold", "select_expected_f", "one_owner", "macro_f05", "policy_grid", "hard_negatives", "submission_lists", "pair_jaro_winkler", "address_segments"]
+QUICK = ["v1_key", "clean_text_repairs", "skeleton", "fold_manifest", "stratified_sample", "eq_channel_oversize", "postings_tokens", "select_threshold", "select_expected_f", "one_owner", "macro_f05", "policy_grid", "hard_negatives", "submission_lists", "pair_jaro_winkler", "address_segments", "eq_channel_plain", "stress_manifest", "errors_by_stratum", "paired_bootstrap", "abbreviation_candidates", "mini_world", "contract_report", "submission_report", "invariants_by_table"]
 
 
 def plain(v):
