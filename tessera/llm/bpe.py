@@ -75,7 +75,7 @@ class Transducer:
     """Encodes by a BPE file of the tokenizers library with word ends (`</w>`) and white space dropped."""
 
     #: Words whose tokens a worker remembers, of how many characters at most; beyond them the memory starts afresh.
-    REMEMBER, WORTH = 200_000, 64
+    REMEMBER, WORTH = 500_000, 64
     #: Symbols read beyond the lookahead between two emissions.
     STEP = 64
 
