@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
@@ -271,6 +272,18 @@ def digests(bpe: Transducer, text: str, size: int = PART) -> tuple[int, str, str
     return n, of_ids.hexdigest(), of_text.hexdigest(), length + len(shown)
 
 
+_kept: dict[int, Transducer] = {}
+
+
+def kept(file: bytes, look: int) -> Transducer:
+    """The worker's transducer for a file, with the words it remembers from earlier tasks."""
+    key = zlib.crc32(file)
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = Transducer(file, look)
+    return _kept[key]
+
+
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every text and decodes its ids; one row of digests for each. Nothing is shuffled."""
     spark = docs.sparkSession
@@ -280,7 +293,7 @@ def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
     file = spark.sparkContext.broadcast((data, Transducer(data).look))
 
     def make():
-        bpe = Transducer(*file.value)
+        bpe = kept(*file.value)
 
         def row(doc, text):
             return doc, *digests(bpe, text or "")
