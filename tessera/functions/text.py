@@ -9,6 +9,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,6 +55,14 @@ def fold_latin(c: Column) -> Column:
     return nfc(out)
 
 
+def fold_word(word: str) -> str:
+    """fold_latin for one word in Python."""
+    if word.isascii():
+        return word
+    bare = regex.sub(r"(?<=\p{Latin})\p{M}+", "", unicodedata.normalize("NFD", word))
+    return unicodedata.normalize("NFC", "".join(LIGATURES.get(c, c) for c in bare))
+
+
 def repair_controls(c: Column) -> Column:
     return F.regexp_replace(c, r"(?:[ÂâÃ](?=[\x{80}-\x{9f}]))?[\x{00}-\x{08}\x{0b}\x{0c}\x{0e}-\x{1f}\x{7f}-\x{9f}]+", " ")
 
@@ -78,9 +87,8 @@ DOTTED = ("LLC", "LLP", "LP", "PLC", "PC", "PA", "SA", "SARL", "SAS", "GMBH", "A
 def join_dotted_legal(c: Column) -> Column:
     """L.L.C. to LLC, where the joined form is a legal form; dotted initials stay."""
     out = c
-    for form in DOTTED:
-        if len(form) <= 4:
-            out = F.regexp_replace(out, r"(?i)(?<![\p{L}\p{N}.])" + r"\.\s?".join(f"({x})" for x in form) + r"\.?(?![\p{L}\p{N}])", "".join(f"${i + 1}" for i in range(len(form))))
+    for form in sorted(DOTTED, key=len, reverse=True):  # S.A.R.L. is no S.A.
+        out = F.regexp_replace(out, r"(?i)(?<![\p{L}\p{N}.])" + r"\.\s?".join(f"({x})" for x in form) + r"(?:\.(?![\p{L}\p{N}])|(?![\p{L}\p{N}.]))", "".join(f"${i + 1}" for i in range(len(form))))
     return out
 
 

@@ -149,9 +149,9 @@ def skeleton(spark, d):
 
 @query()
 def name_features(spark, d):
-    rows = ["The Zeta Foods Pvt. Ltd.", "Limited", "Alpha (India) LLC", "Beta Co dba Gamma", "www.shop.com", "n/a", "**Delta & Sons, Inc."]
-    names = read_parquet(spark, d, "part").select("p_name").distinct().unionAll(spark.createDataFrame([(r,) for r in rows], "p_name string"))
-    return names.select("p_name", records.name_record(F.col("p_name")).alias("r")).select("p_name", "r.*")
+    rows = [("The Zeta Foods Pvt. Ltd.", "India"), ("Limited", "US"), ("Alpha (India) LLC", "US"), ("Beta Co dba Gamma", "US"), ("www.shop.com", "US"), ("n/a", ""), ("**Delta & Sons, Inc.", "US"), ("M/s Orbit Traders", "India"), ("Éclat S.A.R.L.", "France")]
+    names = read_parquet(spark, d, "part").select("p_name", F.lit("").alias("country")).distinct().unionAll(spark.createDataFrame(rows, "p_name string, country string"))
+    return names.select("p_name", "country", records.name_record(F.col("p_name"), F.col("country")).alias("r")).select("p_name", "country", "r.*")
 
 
 # --- addresses ------------------------------------------------------------------------------------------------------

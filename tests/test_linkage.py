@@ -42,13 +42,43 @@ def test_text_functions(spark):
 
 
 def test_name_and_address_records():
-    n = records.name_features("The Zeta Foods Pvt. Ltd.")
-    assert (n["name_core"], n["legal_form"], n["legal_position"]) == ("zeta foods", "LTD+PVT", "suffix")
-    assert records.name_features("Limited")["name_core"] == "limited"
+    n = records.name_features("The Zeta Foods Pvt. Ltd.", "India")
+    assert (n["name_core"], n["legal_form"], n["legal_position"], n["name_leading_removed"]) == ("zeta foods", "PVT+LTD", "suffix", "the")
+    n = records.name_features("Limited")
+    assert (n["name_core"], n["name_core_fallback"], n["legal_position"]) == ("limited", True, "suffix")
+    n = records.name_features("Alpha (India) LLC")
+    assert (n["name_core"], n["name_bracket_text"], n["legal_form"], n["legal_position"]) == ("alpha india", "india", "LLC", "suffix")
+    assert records.name_features("(LLC) Alpha Beta", "US")["legal_position"] == "bracket"
+    n = records.name_features("M/s Orbit and Orbit Traders Services", "India")
+    assert (n["name_core"], n["name_core_trim"], n["name_token_counts"]) == ("orbit orbit traders services", "orbit orbit traders", '{"orbit": 2}')
+    n = records.name_features("Alpha Pvt Ltd d / b / a The Beta Inc", "India")
+    assert (n["alias_marker"], n["alias_left"], n["alias_right"]) == ("dba", "alpha", "beta")
+    n = records.name_features("www.shop-now.com")
+    assert (n["name_core"], n["name_domain"], n["name_domain_label"]) == ("shop now", True, "shop-now")
+    assert records.name_features("www shop com")["name_core"] == "www shop com"
+    assert [records.name_features("Private Care Inc", c)["legal_form"] for c in ("US", "India", "native", "")] == ["INC", "PVT+INC", "INC", "INC"]
+    n = records.name_features("ज़ेटा प्राइवेट लिमिटेड", "India")
+    assert (n["name_core"], n["legal_form"], n["name_ntokens"]) == ("ज़ेटा", "PVT+LTD", 3)
+    n = records.name_features("Éclat Límited")
+    assert (n["name_core"], n["name_core_fold"], n["legal_form"]) == ("éclat", "eclat", "LTD")
+    assert records.name_features("")["name_core"] == "" and not records.name_features("")["name_core_fallback"]
     a = records.address_features("0042 Elm Ave, New York, 10001")
     assert a["address_canon"] == "42 elm avenue new york 10001" and a["address_state"] == "new york" and a["address_postal"] == ["10001"]
 
 
+def test_address_states_and_cities():
+    a = records.address_features("Austin, TX, Texas, Dallas")
+    assert (a["address_state"], a["address_state_kind"], a["address_cities"]) == ("texas", "exact", ["dallas", "austin"])
+    a = records.address_features("12 Elm St, TX, California")
+    assert (a["address_state"], a["address_state_kind"]) == ("", "conflict")
+
+
+def test_name_record_reads_the_cleaned_text(spark):
+    rows = [("Zeta S.A.R.L.", "France"), ("Zeta L.L.C.", "US"), (None, None)]
+    got = spark.createDataFrame(rows, "n string, c string").select(records.name_record(F.col("n"), F.col("c")).alias("r")).select("r.*").collect()
+    assert [(r["name_core"], r["legal_form"]) for r in got] == [("zeta", "SARL"), ("zeta", "LLC"), ("", "")]
+
+
 def test_ratio_against_dynamic_programming():
     random.seed(3)
     for _ in range(200):
