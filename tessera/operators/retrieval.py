@@ -39,23 +39,38 @@ def equality_channel(name: str, queries: DataFrame, targets: DataFrame, key: Col
     return _top(small.unionAll(large), cap)
 
 
+#: Rows that are sent to every executor at most; beyond that many both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(rows: DataFrame, each: int = 1) -> bool:
+    """Whether `each` times the rows are within BROADCAST_ROWS, by counting no more than that."""
+    most = BROADCAST_ROWS // each
+    return rows.limit(most + 1).count() <= most
+
+
 def postings_channel(name: str, queries: DataFrame, targets: DataFrame, tokens: Column, df_cap: int | None = 3000, rarest: int = 6, min_shared: int = 1, k: int = 100) -> DataFrame:
     """Targets that share rare tokens, scored by the sum of integer micro-IDFs.
 
-    Tokens in more than df_cap targets are dropped and only each query's rarest are looked up, both
-    before the join, which bounds it. With df_cap None no token is dropped, so a query all of whose tokens
-    are frequent is looked up by the rarest of them. Sums are of integers, so they are exact in any order.
+    Only each query's rarest tokens are looked up, of these the ones in at most df_cap targets; a query that has no
+    token within df_cap, or any query with df_cap None, is looked up by its rarest whatever their frequency. Sums are of
+    integers, so they are exact in any order. While the queries' tokens are bounded, targets are read twice and neither
+    time shuffled by token: counts combine on the map side, and the chosen tokens are broadcast.
     """
     ours = queries.select("q", F.explode(tokens).alias("tok"))
     theirs = targets.select("t", F.explode(tokens).alias("tok"))
+    asked = ours.select("tok").distinct()
+    counted = theirs.join(F.broadcast(asked), "tok", "left_semi") if bounded(asked) else theirs
     n = targets.agg(F.count("*").alias("n"))
-    df = theirs.groupBy("tok").agg(F.count("*").alias("df"))
-    if df_cap is not None:
-        df = df.where(F.col("df") <= df_cap)
-    idf = df.crossJoin(F.broadcast(n)).select("tok", F.round(F.log((F.col("n") + 1) / (F.col("df") + 0.5)) * 1e6).cast("long").alias("idf"))
+    df = counted.groupBy("tok").agg(F.count("*").alias("df"))
+    idf = df.crossJoin(F.broadcast(n)).select("tok", "df", F.round(F.log((F.col("n") + 1) / (F.col("df") + 0.5)) * 1e6).cast("long").alias("idf"))
     order = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("idf"), F.asc("tok")))
-    chosen = ours.join(idf, "tok").withColumn("r", order).where(F.col("r") <= rarest).drop("r")
-    found = chosen.join(theirs, "tok").groupBy("q", "t").agg(F.sum("idf").alias("s"), F.count("*").cast("int").alias("blk")).where(F.col("blk") >= min_shared)
+    chosen = ours.join(idf, "tok").withColumn("r", order).withColumn("least", F.min("df").over(Window.partitionBy("q"))).where(F.col("r") <= rarest)
+    if df_cap is not None:
+        chosen = chosen.where((F.col("df") <= df_cap) | (F.col("least") > df_cap))
+    chosen = chosen.select("q", "tok", "idf")
+    found = theirs.join(F.broadcast(chosen) if bounded(queries, rarest) else chosen, "tok")
+    found = found.groupBy("q", "t").agg(F.sum("idf").alias("s"), F.count("*").cast("int").alias("blk")).where(F.col("blk") >= min_shared)
     return _top(found.select(F.lit(name).alias("channel"), "q", "t", F.col("s").cast("double").alias("score"), "blk"), k)
 
 

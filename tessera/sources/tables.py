@@ -13,6 +13,12 @@ def read_parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a small table of fewer splits than cores to all cores; a table of more splits stays as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_tsv(spark: SparkSession, path: str, columns: list[str], strict: bool = True) -> DataFrame:
     """All columns are strings and never null: an empty field is "", the text NA is NA. Strict: a malformed row fails."""
     schema = StructType([StructField(c, StringType()) for c in columns])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import records, similarity, text
 from tessera.operators import decide, retrieval
 from tessera.plans import analysis, queries  # noqa: F401
-from tessera.sources.tables import read_tsv
+from tessera.sources.tables import read_tsv, spread
 
 DATA = "/root/testdata/sf0.001"
 QUICK = ["v1_key", "clean_text_repairs", "skeleton", "fold_manifest", "stratified_sample", "eq_channel_oversize", "postings_tokens", "select_threshold", "select_expected_f", "one_owner", "macro_f05", "policy_grid", "hard_negatives", "submission_lists", "pair_jaro_winkler", "address_segments", "eq_channel_plain", "stress_manifest", "errors_by_stratum", "paired_bootstrap", "abbreviation_candidates", "mini_world", "contract_report", "submission_report", "invariants_by_table"]
@@ -175,6 +175,13 @@ def test_frequent_tokens_retrieve_without_a_cap(spark):
     bench = spark.createDataFrame([(1, "shared passage more")], "q long, key string")
     run = lambda cap: retrieval.postings_channel("tok", bench, docs, text.tokens(F.col("key")), cap, 2, 1, 200)
     assert (run(100).count(), run(None).count()) == (3, 150)
+    bench = spark.createDataFrame([(1, "shared passage"), (2, "more")], "q long, key string")  # all of the first one's tokens are over the cap
+    assert sorted(r[0] for r in run(100).groupBy("q").count().select("count").collect()) == [3, 150]
+
+
+def test_spread_leaves_tables_of_many_splits(spark):
+    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert "Exchange" not in spread(spark.range(0, 100, 1, 50))._jdf.queryExecution().toString()
 
 
 def test_postings_tokens_all_matches_duckdb(spark):
