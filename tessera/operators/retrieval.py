@@ -19,24 +19,58 @@ def _top(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rnk", rank).where(F.col("rnk") <= k).select(*CANDIDATE)
 
 
+#: Tasks that the queries of one block are dealt to, at least.
+DEALT = 16
+
+
 def equality_channel(name: str, queries: DataFrame, targets: DataFrame, key: Column, secondary: Column | None = None, cap: int = 100) -> DataFrame:
     """Targets with the query's non-empty key. Blocks over `cap` are ranked by the secondary similarity.
 
     queries have q, targets t, and both the columns that key reads; secondary reads q_* and t_* columns.
     The secondary is evaluated for oversize blocks only: they are split off before it. Without one a key has the same
-    targets for all its queries, so the first `cap` are taken before the join, which bounds it.
+    targets for all its queries, so the first `cap` are taken before the join, which bounds it. With one that holds for
+    queries of the same columns, so pass only those that key and secondary read (see _by_classes).
     """
-    ours = queries.select(F.col("q"), key.alias("k"), *[F.col(c).alias(f"q_{c}") for c in queries.columns if c != "q"]).where("k <> ''")
-    theirs = targets.select(F.col("t"), key.alias("k"), *[F.col(c).alias(f"t_{c}") for c in targets.columns if c != "t"]).where("k <> ''")
+    of_q, of_t = [c for c in queries.columns if c != "q"], [c for c in targets.columns if c != "t"]
+    ours = queries.select("q", key.alias("k"), F.struct(*[F.col(c).alias(f"q_{c}") for c in of_q]).alias("of_q")).where("k <> ''")
+    theirs = targets.select("t", key.alias("k"), F.struct(*[F.col(c).alias(f"t_{c}") for c in of_t]).alias("of_t")).where("k <> ''")
     sizes = theirs.join(ours.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.count("*").cast("int").alias("blk"))
+
+    def first(*by: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("t"))
+        return theirs.select("t", *by).withColumn("rnk", place).where(F.col("rnk") <= cap)
+
     if secondary is None:
-        place = F.row_number().over(Window.partitionBy("k").orderBy("t"))
-        first = theirs.select("t", "k").withColumn("rnk", place).where(F.col("rnk") <= cap)
-        return ours.select("q", "k").join(sizes, "k").join(first, "k").select(F.lit(name).alias("channel"), "q", "t", "rnk", F.lit(1.0).alias("score"), "blk").select(*CANDIDATE)
-    met = ours.join(sizes, "k").join(theirs, "k").withColumn("channel", F.lit(name))
-    small = met.where(F.col("blk") <= cap).select("channel", "q", "t", F.lit(1.0).alias("score"), "blk")
-    large = met.where(F.col("blk") > cap).select("channel", "q", "t", secondary.cast("double").alias("score"), "blk")
-    return _top(small.unionAll(large), cap)
+        return ours.select("q", "k").join(sizes, "k").join(first("k"), "k").select(F.lit(name).alias("channel"), "q", "t", "rnk", F.lit(1.0).alias("score"), "blk").select(*CANDIDATE)
+    ours = ours.withColumn("rows", F.count("*").over(Window.partitionBy("q")))
+    small = first("k").join(sizes.where(F.col("blk") <= cap), "k")
+    small = ours.select("q", "k", "rows").join(small, "k").select("q", "t", "rnk", F.lit(1.0).alias("score"), "blk", "rows")
+    found = small.unionByName(_by_classes(ours, first("k", "of_t"), sizes.where(F.col("blk") > cap), secondary, cap)).withColumn("channel", F.lit(name))
+    # a query of several rows is ranked over all of them
+    return found.where(F.col("rows") == 1).select(*CANDIDATE).unionByName(_top(found.where(F.col("rows") > 1), cap))
+
+
+def _by_classes(ours: DataFrame, first: DataFrame, sizes: DataFrame, secondary: Column, cap: int) -> DataFrame:
+    """The best `cap` targets of each row of ours, found once for all queries of the same k and of_q.
+
+    Targets of the same k and of_t have the same score, so of them only the first `cap` can be wanted, and of these classes
+    only the `cap` best by score and first target: each class before them has a target that comes before all of theirs.
+    Pairs are thus of distinct (k, of_q) and (k, of_t), whatever the number of rows; a block's queries are dealt to tasks,
+    to a stated number of partitions, since few bytes here are many pairs and would be joined in one task otherwise.
+    """
+    spark = ours.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    classes = first.groupBy("k", "of_t").agg(F.array_sort(F.collect_list(F.struct("rnk", "t"))).alias("ts")).join(sizes, "k")
+    asked = ours.select("k", "of_q").distinct().withColumn("deal", F.pmod(F.xxhash64("of_q"), F.lit(DEALT))).repartition(n, "k", "deal")
+    dealt = classes.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long")))).repartition(n, "k", "deal")
+    met = asked.join(dealt, ["k", "deal"])
+    met = met.select("k", "of_q", "blk", "ts", "of_q.*", "of_t.*").select("k", "of_q", "blk", "ts", secondary.cast("double").alias("score"))
+    one = Window.partitionBy("k", "of_q")
+    met = met.withColumn("place", F.row_number().over(one.orderBy(F.desc("score"), F.col("ts")[0]["t"]))).where(F.col("place") <= cap)
+    met = met.select("k", "of_q", "blk", "score", F.explode("ts.t").alias("t"))
+    met = met.withColumn("rnk", F.row_number().over(one.orderBy(F.desc("score"), "t"))).where(F.col("rnk") <= cap)
+    best = met.groupBy("k", "of_q", "blk").agg(F.collect_list(F.struct("t", "rnk", "score")).alias("best"))
+    return ours.join(best, ["k", "of_q"]).select("q", "rows", "blk", F.explode("best").alias("b")).select("q", "b.t", "b.rnk", "b.score", "blk", "rows")
 
 
 #: Rows that are sent to every executor at most; beyond that many both sides are shuffled.

@@ -304,8 +304,8 @@ def eq_channel_plain(spark, d):
 
 @query(_EQ.format(name="eq_brand", key="brand", score="CASE WHEN n > 20 THEN round(len(list_intersect(string_split(a.name, ' '), string_split(b.name, ' '))) / len(list_distinct(string_split(a.name, ' ') || string_split(b.name, ' '))), 9) ELSE 1.0::DOUBLE END", cap=20))
 def eq_channel_oversize(spark, d):
-    p = _parts(spark, d)
-    near = F.round(similarity.jaccard(text.tokens(F.col("q_name")), text.tokens(F.col("t_name"))), 9)
+    p = _parts(spark, d).select("id", "brand", F.array_sort(F.array_distinct(F.split("name", " "))).alias("words"))
+    near = F.round(similarity.jaccard(F.col("q_words"), F.col("t_words")), 9)
     return retrieval.equality_channel("eq_brand", p.withColumnRenamed("id", "q"), p.withColumnRenamed("id", "t"), F.col("brand"), near, cap=20)
 
 

@@ -220,3 +220,45 @@ def test_address_noise_goes_to_a_fixpoint():
     assert canon("Plot No, No No 93", "") == "plot 93"
     assert records.number_spans("Flat No C-0251, near gate 12A")[0] == {"raw": "C-0251", "canon": "c251", "context": "flat no"}
     assert records.number_spans("Flat No C-0251, near gate 12A")[1] == {"raw": "12A", "canon": "12a", "context": "near gate"}
+
+
+def oversize(spark, folder, rows):
+    """Rows of eq_channel_oversize and of its SQL over the given (p_partkey, p_name, p_brand)."""
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{folder}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{folder}/part.parquet/*.parquet'")
+    columns = ["channel", "q", "t", "rnk", "score", "blk"]
+    found = queries.QUERIES["eq_channel_oversize"](spark, str(folder)).select(*columns).collect()
+    theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({queries.ORACLES['eq_channel_oversize']})").fetchall()
+    return [sorted((tuple(plain(v) for v in r) for r in x), key=repr) for x in (found, theirs)]
+
+
+def test_oversize_blocks_match_duckdb_on_odd_names(spark, tmp_path):
+    rng = random.Random(5)
+    names = ["red gear", "gear red", "red  gear", "red gear red", "", " ", None, "old", "Old"] + [" ".join(rng.choices("abcdefgh", k=rng.randint(1, 5))) for _ in range(40)]
+    rows = [(i, rng.choice(names), rng.choice(["big", "big", "big", "mid"])) for i in range(300)]
+    rows += [(1000 + i, rng.choice(names), b) for b, n in (("at cap", 20), ("over cap", 21), ("one", 1)) for i in range(n)]
+    rows = [(10 * i, n, b) for i, (_, n, b) in enumerate(rows)] + [(9001, "red gear", None)]
+    ours, theirs = oversize(spark, tmp_path, rows)
+    assert ours == theirs
+
+
+def test_oversize_query_of_two_rows_is_ranked_over_both(spark, tmp_path):
+    rows = [(i, f"w{i % 7} x{i % 5}", "a" if i < 60 else "b") for i in range(100)] + [(3, "w1 x1", "b"), (70, "w0 x1", "c")]
+    ours, theirs = oversize(spark, tmp_path, rows)
+    assert [r[:5] for r in ours] == [r[:5] for r in theirs]  # its row in the one block ties with that in the other
+
+
+def test_oversize_blocks_compare_distinct_names_only(spark):
+    """600 rows of 16 names in one block: 360,000 pairs of rows, 256 of names."""
+    p = spark.createDataFrame([(i, "a", f"w{i % 16}") for i in range(600)], "id long, brand string, word string")
+    seen = spark.sparkContext.accumulator(0)
+
+    def same(a, b):
+        seen.add(1)
+        return float(a == b)
+
+    found = retrieval.equality_channel("eq", p.withColumnRenamed("id", "q"), p.withColumnRenamed("id", "t"), F.col("brand"), F.udf(same, "double")("q_word", "t_word"), cap=20)
+    rows = {(r["q"], r["rnk"]): (r["t"], r["score"], r["blk"]) for r in found.collect()}
+    assert rows == {(q, i + 1): (q % 16 + 16 * i, 1.0, 600) for q in range(600) for i in range(20)}
+    assert 256 <= seen.value <= 512
